@@ -5,10 +5,13 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weirgate.functions.tokens import VOCABULARIES, vocabulary_path
 from weirgate.llm.byte_bpe import encode_documents
+from weirgate.llm.junk_pages import junk_pages
 from weirgate.llm.token_budget import token_budget
+from weirgate.llm.visual_form import look_alike_pairs, visual_form
 from weirgate.sources.tables import table
 
 
@@ -16,9 +19,30 @@ def p1_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget(table(spark, d, "mmlu_csv_alpaca"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def _visible_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts whose visual form problem 4 asks for: exam questions, and first messages."""
+    exam = table(spark, d, "cmmlu_education").select(F.lit("cmmlu_education").alias("table_name"), F.col("row_no").alias("key"), F.col("question").alias("text"))
+    items = table(spark, d, "work_item").select(F.lit("work_item").alias("table_name"), F.col("record_id").alias("key"), F.try_element_at("messages", F.lit(1))["content"].alias("text"))
+    return exam.unionByName(items)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_pairs(_visible_texts(spark, d))
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    exam = table(spark, d, "cmmlu_education").select(F.lit("cmmlu_education").alias("table_name"), F.col("row_no").alias("key"), F.lit(0).alias("turn"), F.col("question").alias("text"))
+    items = table(spark, d, "work_item").select(F.lit("work_item").alias("table_name"), F.col("record_id").alias("key"), F.posexplode("messages").alias("turn", "m")).select("table_name", "key", "turn", F.col("m.content").alias("text"))
+    return exam.unionByName(items).select("table_name", "key", "turn", visual_form(F.col("text")).alias("form")).distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"), "doc_id", "text", vocabulary_path("byte_bpe_50k.tiktoken"), importlib.import_module(VOCABULARIES).PATTERN)
 
 
-QUERIES = {"p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return junk_pages(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
