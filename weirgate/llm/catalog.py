@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from weirgate.functions.tokens import VOCABULARIES, vocabulary_path
 from weirgate.llm.byte_bpe import encode_documents
+from weirgate.llm.garbled import garbled_values
 from weirgate.llm.junk_pages import junk_pages
+from weirgate.llm.leakage import leaked
 from weirgate.llm.token_budget import token_budget
 from weirgate.llm.visual_form import look_alike_pairs, visual_form
 from weirgate.sources.tables import table
@@ -36,6 +38,22 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return exam.unionByName(items).select("table_name", "key", "turn", visual_form(F.col("text")).alias("form")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "mmlu_csv_alpaca").select(F.lit("mmlu_csv_alpaca").alias("table_name"), F.col("row_id").alias("row_key"), F.col("instruction").alias("text"))
+    docs = table(spark, d, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_key"), "text")
+    return leaked(pairs.unionByName(docs), table(spark, d, "fineval_mcq_finance"))
+
+
+def p7_restored(spark: SparkSession, d: str) -> DataFrame:
+    exam = table(spark, d, "cmmlu_education")
+    values = exam.select(F.col("row_no").alias("key"), F.explode(F.create_map(F.lit("question"), F.col("question"), F.lit("answer"), F.col("answer"))).alias("field", "text"))
+    return garbled_values(values)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_restored(spark, d).select(F.col("key").alias("row_no"), "field").distinct()
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"), "doc_id", "text", vocabulary_path("byte_bpe_50k.tiktoken"), importlib.import_module(VOCABULARIES).PATTERN)
 
@@ -44,5 +62,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return junk_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
+QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
