@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirgate.functions.tokens import VOCABULARIES, vocabulary_path
+from weirgate.llm.broken_pairs import broken_pairs
 from weirgate.llm.byte_bpe import encode_documents
 from weirgate.llm.garbled import garbled_values
 from weirgate.llm.junk_pages import junk_pages
@@ -21,6 +22,12 @@ def p1_token_budget(spark: SparkSession, d: str) -> DataFrame:
     return token_budget(table(spark, d, "mmlu_csv_alpaca"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = table(spark, d, "mmlu_csv_alpaca").select(F.lit("mmlu_csv_alpaca").alias("table_name"), F.col("row_id").alias("row_key"), F.col("instruction").alias("question"), F.col("output").alias("answer"))
+    asked = table(spark, d, "fineval_qa_finance").select(F.lit("fineval_qa_finance").alias("table_name"), F.col("qa_id").alias("row_key"), "question", "answer")
+    return broken_pairs(pairs.unionByName(asked))
+
+
 def _visible_texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts whose visual form problem 4 asks for: exam questions, and first messages."""
     exam = table(spark, d, "cmmlu_education").select(F.lit("cmmlu_education").alias("table_name"), F.col("row_no").alias("key"), F.col("question").alias("text"))
@@ -62,5 +69,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return junk_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
