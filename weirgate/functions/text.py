@@ -115,9 +115,18 @@ def norm_text(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """The set of pairs of neighbouring characters; a shorter text is its own only member."""
-    n = F.length(text)
-    return F.when(n < 2, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))))
+    """The set of pairs of neighbouring characters; a shorter text is its own only member.
+
+    Characters are split once and zipped with their neighbours; a substring per place would be quadratic. They are bound
+    by an outer lambda: otherwise the whole expression of the text would be evaluated again for every use.
+    """
+
+    def pairs(chars: Column) -> Column:
+        n = F.size(chars)
+        zipped = F.zip_with(F.slice(chars, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(chars, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, y: F.concat(x, y))
+        return F.when(n < 2, F.array(F.array_join(chars, ""))).otherwise(F.array_distinct(zipped))
+
+    return F.transform(F.array(F.filter(F.split(text, ""), lambda c: c != "")), pairs)[0]
 
 
 def arabic_number(text: Column) -> Column:
