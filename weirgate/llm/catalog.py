@@ -13,6 +13,7 @@ from weirgate.llm.byte_bpe import encode_documents
 from weirgate.llm.garbled import garbled_values
 from weirgate.llm.junk_pages import junk_pages
 from weirgate.llm.leakage import leaked
+from weirgate.llm.pii import personal_information
 from weirgate.llm.token_budget import token_budget
 from weirgate.llm.visual_form import look_alike_pairs, visual_form
 from weirgate.sources.tables import table
@@ -28,6 +29,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs(pairs.unionByName(asked))
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "work_item").select(F.lit("work_item").alias("table_name"), F.col("record_id").alias("row_key"), F.posexplode("messages").alias("turn", "m")).select("table_name", "row_key", "turn", F.col("m.content").alias("text"))
+    pairs = table(spark, d, "mmlu_csv_alpaca").select(F.lit("mmlu_csv_alpaca").alias("table_name"), F.col("row_id").alias("row_key"), F.lit(0).alias("turn"), F.col("instruction").alias("text"))
+    return personal_information(items.unionByName(pairs))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("table_name", "row_key", "turn", F.explode("types").alias("pii_type")).distinct()
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return _personal(spark, d).select("table_name", "row_key", "turn", "redacted").distinct()
+
+
 def _visible_texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts whose visual form problem 4 asks for: exam questions, and first messages."""
     exam = table(spark, d, "cmmlu_education").select(F.lit("cmmlu_education").alias("table_name"), F.col("row_no").alias("key"), F.col("question").alias("text"))
@@ -69,5 +84,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return junk_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
