@@ -57,7 +57,7 @@ _WORDS = {
 }
 _ASKS_FOR = [("en", re.compile(r"(?:译|翻)[^。，]{0,6}(?:英文|英语)|用(?:英文|英语)|(?:in|into) english", re.I)), ("zh", re.compile(r"(?:译|翻)[^。，]{0,6}(?:中文|汉语)|用(?:中文|汉语)|(?:in|into) chinese", re.I)), ("ja", re.compile(r"日文|日语|(?:in|into) japanese", re.I)), ("fr", re.compile(r"法文|法语|(?:in|into) french", re.I)), ("de", re.compile(r"德文|德语|(?:in|into) german", re.I)), ("ru", re.compile(r"俄文|俄语|(?:in|into) russian", re.I)), ("es", re.compile(r"西班牙|(?:in|into) spanish", re.I)), ("ko", re.compile(r"韩文|韩语|(?:in|into) korean", re.I))]
 _OPTIONS = re.compile(r"\n\s*[AＡ]\s*[.．、:：)）].*", re.S)
-_MAIL = re.compile(r"[A-Za-z0-9._+\-Ａ-Ｚａ-ｚ０-９＿．]+\s?(?:@|＠|\[at\]|[(（]at[)）])\s?[A-Za-z0-9._\-Ａ-Ｚａ-ｚ０-９．]+(?:\s(?:dot|\[dot\])\s[A-Za-z0-9]+)*", re.I)
+_MAIL = re.compile(r"(?<![A-Za-z0-9._+\-Ａ-Ｚａ-ｚ０-９＿．])[A-Za-z0-9._+\-Ａ-Ｚａ-ｚ０-９＿．]+\s?(?:@|＠|\[at\]|[(（]at[)）])\s?[A-Za-z0-9._\-Ａ-Ｚａ-ｚ０-９．]+(?:\s(?:dot|\[dot\])\s[A-Za-z0-9]+)*", re.I)
 
 
 def letters(text: str) -> str:
@@ -242,10 +242,11 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     """table_name, row_key, defect of every pair whose answer is defective.
 
     ``pairs``: table_name, row_key, question, answer. A null answer is ``empty``; a null question alone is no defect, its
-    answer is still judged by itself. Rows delivered again count once; equal answers are judged alike; an empty table
+    answer is still judged by itself; rows without a key are left out. Rows delivered again count once; equal answers are judged alike; an empty table
     gives no rows; other columns are ignored. Clauses are counted before they are shuffled, distinct clauses are sorted
     in ranges of their first characters, and no group is held in one task's memory.
     """
+    pairs = pairs.where("row_key is not null")
     kinds = "table_name string, row_key long, defect string, rest string, alone boolean, size int"
 
     def rules(batches):

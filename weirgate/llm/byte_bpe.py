@@ -131,9 +131,10 @@ class ByteBPE:
             ids = memo.get(piece)
             if ids is None:
                 ids = self.encode_piece(piece.encode("utf-8").decode("latin-1"))
-                if len(memo) >= self.memo_size:
-                    memo.clear()
-                memo[piece] = ids
+                if len(piece) <= 64:  # longer ones hardly come back
+                    if len(memo) >= self.memo_size:
+                        memo.clear()
+                    memo[piece] = ids
             out += ids
         return out
 

@@ -85,7 +85,10 @@ def garble(text: str, chain: list[tuple[str, str]]) -> str | None:
 
 
 def restore(text: str, chain: list[tuple[str, str]]) -> str | None:
-    """The original of a stretch, if nothing was lost: garbling it again gives the stretch."""
+    """The original of a stretch, if nothing was lost: garbling it again gives the stretch.
+
+    Where a code has two byte sequences for one character (cp932), a near form of the original can pass this check.
+    """
     out = text
     for written, read in reversed(chain):
         data = _write(out, read)
@@ -188,11 +191,11 @@ def garbled_values(values: DataFrame) -> DataFrame:
     """key, field, text, chain, original of every garbled value.
 
     ``values``: key (long), field, text. ``original`` is null where it cannot be recovered. Null, empty and ASCII
-    values are sound; repeated rows count once; an empty table gives no rows; other columns are ignored. Rare but right
+    values are sound; values without a key are left out; repeated rows count once; an empty table gives no rows; other columns are ignored. Rare but right
     characters are no form of a clean word and so stay sound. Words, forms and tokens are spread over the cluster;
     each is made distinct before it is joined, and a token joins at most one form per word and chain.
     """
-    marked = values.where("text is not null and text rlike '[^\\\\x00-\\\\x7f]'").select("key", "field", "text").distinct().withColumn("odd", _unusual(F.col("text")))
+    marked = values.where("key is not null and text is not null and text rlike '[^\\\\x00-\\\\x7f]'").select("key", "field", "text").distinct().withColumn("odd", _unusual(F.col("text")))
 
     def words(batches):
         for pdf in batches:
@@ -214,6 +217,9 @@ def garbled_values(values: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for k, f, t in zip(pdf["key"], pdf["field"], pdf["text"]):
+                if len(rows) > 100_000:
+                    yield tokens_of(rows)
+                    rows = []
                 strange = [c not in known for c in t]
                 for lo in range(len(t) - 1):
                     seen = False
@@ -222,7 +228,10 @@ def garbled_values(values: DataFrame) -> DataFrame:
                         if hi - lo >= 2 and seen and (t[lo] > "\x7f"):
                             rows.append((k, f, lo, t[lo:hi]))
                 rows += [(k, f, m.start(), m[0]) for m in _RUN.finditer(t) if len(m[0]) > longest]
-            yield pd.DataFrame(rows, columns=["key", "field", "place", "form"]).astype({"key": "int64", "place": "int32", "field": "object", "form": "object"})
+            yield tokens_of(rows)
+
+    def tokens_of(rows):
+        return pd.DataFrame(rows, columns=["key", "field", "place", "form"]).astype({"key": "int64", "place": "int32", "field": "object", "form": "object"})
 
     odd = marked.where("odd").select("key", "field", "text")
     hits = odd.mapInPandas(tokens, "key long, field string, place int, form string").join(table, "form")

@@ -85,7 +85,9 @@ def signs(units: list[str]) -> list[int]:
         inside = 1 - len(own) / total
         wordy = first[k] == CLAUSE and many < 4
         words = Counter(w for x in _ITEM.split(units[k]) for w in x.split())
-        if many >= 6 and first[k] != CLAUSE and sum(n for n in words.values() if n > 1) > 0.4 * sum(words.values()):
+        heads = Counter(x.split()[0] if x[:1].isascii() else x[:2] for x in map(str.strip, _ITEM.split(units[k])) if x)
+        same = many >= 6 and max(heads.values()) >= 0.6 * many
+        if same and not wordy or many >= 6 and first[k] != CLAUSE and sum(n for n in words.values() if n > 1) > 0.4 * sum(words.values()):
             first[k] = REPEATED
             continue
         if (inside > 0.45 and total > 20 and not wordy) or (again >= (0.5 if sizes[k] <= 24 or many >= 4 else 0.75) and not wordy):

@@ -29,8 +29,8 @@ from weirgate.sources.tables import bounded_rows
 
 #: Letters of a window; most items, which bounds what is shared; characters embedded at once.
 WINDOW, MOST_ITEMS, CHUNK = 16, 5000, 400_000
-#: Positions that a hash samples, and the recall that the repetitions must reach.
-SAMPLED, RECALL = 14, 0.95
+#: Letters of a window and positions that a hash samples where edits are allowed; the recall that repetitions must reach.
+EDIT_WINDOW, SAMPLED, RECALL = 32, 6, 0.95
 
 
 @lru_cache(maxsize=1)
@@ -123,7 +123,7 @@ class Items:
         self.text = {i: t for i, t in self.text.items() if len(t)}
         self.least = {i: max(1, math.ceil(len(t) * share)) for i, t in self.text.items()}
         shortest = min(self.least.values(), default=1)
-        self.window = max(1, min(WINDOW, (shortest + 1) // 2 if shortest < 2 * WINDOW else WINDOW) // (1 + edits))
+        self.window = max(1, min(EDIT_WINDOW, shortest) if edits else min(WINDOW, (shortest + 1) // 2))
         self.stride = max(1, shortest - self.window + 1) if not edits else 1
         self.hash = WindowHash(self.window, edits)
         self.strings = {i: "".join(map(chr, t)) for i, t in self.text.items()}
@@ -188,10 +188,11 @@ def leaked(rows: DataFrame, items: DataFrame, share: float = 0.5, max_edits: int
     """table_name, row_key, item_id where a text holds at least ``share`` of an item as one unbroken passage.
 
     ``rows``: table_name, row_key, text; ``items``: item_id, question, at most 5000 rows. Letters and digits of any
-    script count; case, width and everything else do not. Null and empty texts and items without letters give no rows;
+    script count; case, width and everything else do not. Null and empty texts, null keys and items without letters give
+    no rows; other columns are ignored;
     repeated rows count once; empty tables give no rows; whole texts are searched, of any length.
     """
-    held_out = [(r["item_id"], r["question"]) for r in bounded_rows(items.where("question is not null").select("item_id", "question"), MOST_ITEMS)]
+    held_out = [(r["item_id"], r["question"]) for r in bounded_rows(items.where("question is not null and item_id is not null").select("item_id", "question"), MOST_ITEMS)]
     shared = rows.sparkSession.sparkContext.broadcast(held_out)
 
     def search(batches):
@@ -201,4 +202,4 @@ def leaked(rows: DataFrame, items: DataFrame, share: float = 0.5, max_edits: int
             names, keys = pdf["table_name"].tolist(), pdf["row_key"].tolist()
             yield pd.DataFrame([(names[n], keys[n], i) for n, i in found], columns=["table_name", "row_key", "item_id"]).astype({"row_key": "int64", "item_id": "int64"})
 
-    return rows.select("table_name", "row_key", "text").mapInPandas(search, "table_name string, row_key long, item_id long").distinct()
+    return rows.where("row_key is not null").select("table_name", "row_key", "text").mapInPandas(search, "table_name string, row_key long, item_id long").distinct()

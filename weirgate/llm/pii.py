@@ -208,8 +208,12 @@ def redact(text: Column) -> Column:
 
 
 def personal_information(rows: DataFrame) -> DataFrame:
-    """rows with ``redacted`` and ``types``; ``text`` may be null or empty, which stays as it is and has no types.
+    """rows with ``redacted`` and ``types``, which replace columns of these names.
+
+    ``text`` may be null or empty, which stays as it is and has no types. An empty table gives no rows.
 
     Every row is handled by itself, from its whole text; repeated rows come out as often as they occur.
     """
-    return rows.withColumn("found", redact(F.col("text"))).select(*rows.columns, F.col("found.text").alias("redacted"), F.col("found.types").alias("types"))
+    kept = [c for c in rows.columns if c not in ("redacted", "types")]
+    found = rows.select(*kept, redact(F.col("text")).alias("_personal"))
+    return found.select(*kept, F.col("_personal.text").alias("redacted"), F.col("_personal.types").alias("types"))

@@ -32,6 +32,7 @@ class DoubleArray:
     check: np.ndarray
     score: np.ndarray  # by state; -inf where no piece ends
     longest: int
+    joint: str  # the characters that occur within longer pieces; no piece joins any other to its neighbours
 
     @classmethod
     def build(cls, pieces: dict[str, float]) -> DoubleArray:
@@ -74,7 +75,7 @@ class DoubleArray:
         room = int(np.flatnonzero(taken)[-1]) + len(letters) + 2
         grown = max(0, room - len(base))
         cut = lambda a, fill: np.concatenate([a, np.full(grown, fill, a.dtype)])[:room].copy()
-        return cls(code, cut(base, 0), cut(check, -1), cut(score, -np.inf), max(map(len, pieces)))
+        return cls(code, cut(base, 0), cut(check, -1), cut(score, -np.inf), max(map(len, pieces)), "".join(sorted({c for p in pieces if len(p) > 1 for c in p})))
 
     def counts(self, segments: list[str]) -> np.ndarray:
         """Pieces on the best path through each segment."""
@@ -151,11 +152,25 @@ def unigram_pieces(path: str) -> dict[str, float]:
 
 
 _SEGMENT = re.compile("▁*[^▁]+|▁+")
+#: Segments longer than this are cut further, around characters that no longer piece holds.
+LONG = 48
 
 
-def segments_of(text: str) -> list[str]:
-    """The pieces of a text that no token crosses: a dummy blank before it, blanks as ``▁`` at the start of words."""
-    return _SEGMENT.findall("▁" + text.replace(" ", "▁"))
+def segments_of(text: str, cut: re.Pattern) -> list[str]:
+    """The stretches of a text that no token crosses: a dummy blank before it, blanks as ``▁`` at the start of words."""
+    out: list[str] = []
+    for s in _SEGMENT.findall("▁" + text.replace(" ", "▁")):
+        if len(s) <= LONG:
+            out.append(s)
+        else:
+            out += cut.findall(s)
+    return out
+
+
+def cutter(trie: DoubleArray) -> re.Pattern:
+    """Stretches of characters that occur within longer pieces, and of all others (each of those is a piece of its own)."""
+    joint = f"[{re.escape(trie.joint)}]"
+    return re.compile(f"{joint}+|(?:(?!{joint}).){{1,{LONG}}}", re.S)
 
 
 def estimated_tokens(text: Column, trie) -> Column:
@@ -164,7 +179,8 @@ def estimated_tokens(text: Column, trie) -> Column:
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         number: dict[str, int] = {}
-        per_text = [[number.setdefault(s, len(number)) for s in segments_of(t)] if t else [] for t in texts]
+        cut = cutter(trie.value)
+        per_text = [[number.setdefault(s, len(number)) for s in segments_of(t, cut)] if t else [] for t in texts]
         sizes = trie.value.counts(list(number))
         return pd.Series([int(sizes[i].sum()) if i else 0 for i in per_text], dtype="int64")
 
@@ -175,11 +191,12 @@ def token_budget(rows: DataFrame, vocabulary: str) -> DataFrame:
     """source, lang, domain, n_docs, n_empty, n_tokens of the instructions of ``rows``, each slice named in one way.
 
     Rows delivered again (same row_id) count once. Missing sources, languages and domains are ``unknown``; null and
-    empty instructions hold 0 tokens and are counted in ``n_empty``; an empty table has no slices. Other columns are
+    empty instructions hold 0 tokens and are counted in ``n_empty``; rows without a row_id are left out, as they cannot
+    be told from others delivered again; an empty table has no slices. Other columns are
     ignored. The counts are combined by slice before the shuffle, so that a slice with a third of all rows does no harm.
     """
     trie = rows.sparkSession.sparkContext.broadcast(DoubleArray.build(unigram_pieces(vocabulary)))
-    sized = rows.select(
+    sized = rows.where("row_id is not null").select(
         "row_id",
         source_file(F.col("source")).alias("source"),
         language_name(F.col("lang")).alias("lang"),

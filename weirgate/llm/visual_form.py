@@ -136,11 +136,11 @@ def visual_form(text: Column) -> Column:
 def look_alike_pairs(rows: DataFrame) -> DataFrame:
     """table_name, key_a, key_b (key_a < key_b) of texts of one table that differ in characters but look the same.
 
-    ``rows``: table_name, key, text. Null texts and texts of nothing visible are never paired; equal texts are no pair;
+    ``rows``: table_name, key, text. Null keys, null texts and texts of nothing visible are never paired; equal texts are no pair;
     repeated rows count once; an empty table gives no rows. Only hashes are shuffled, and only keys of forms with at
     least two different texts are joined, however often one text is repeated.
     """
-    seen = rows.where("text is not null").withColumn("form", visual_form(F.col("text"))).where(F.trim("form") != "")
+    seen = rows.where("text is not null and key is not null").withColumn("form", visual_form(F.col("text"))).where(F.trim("form") != "")
     hashed = seen.select("table_name", F.col("key"), F.md5(F.col("form").cast("binary")).alias("form"), F.md5(F.col("text").cast("binary")).alias("raw")).distinct()
     mixed = hashed.groupBy("table_name", "form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("table_name", "form")
     some = hashed.join(mixed, ["table_name", "form"], "left_semi")
