@@ -71,7 +71,7 @@ def pack_histogram(counts: dict[int, int], capacity: int, tiers: list[int]) -> l
 
 def sized_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, domain, n_tokens. A null or empty text has 0 tokens."""
-    return docs.select("doc_id", domain_name(F.col("domain")).alias("domain"), token_counts(F.col("text"), vocabulary).alias("n_tokens"))
+    return docs.where("doc_id is not null").select("doc_id", domain_name(F.col("domain")).alias("domain"), token_counts(F.col("text"), vocabulary).alias("n_tokens"))
 
 
 def pack(docs: DataFrame, profiles: DataFrame, vocabulary: str) -> DataFrame:
@@ -81,11 +81,12 @@ def pack(docs: DataFrame, profiles: DataFrame, vocabulary: str) -> DataFrame:
     per document part: ``profile_id, container_id, tier, step_group, doc_id, part, part_tokens``. A document larger
     than the capacity is cut: full parts are containers of their own, the rest is packed like an item. A text without
     tokens is part 0 with 0 tokens in the first container. Repeated doc_ids are packed as often as they occur; no
-    documents give no rows. Capacities below 1 and null capacities are errors.
+    documents give no rows. Documents without an id are left out; other columns are ignored. Capacities below 1, null
+    capacities and null profile_ids are errors.
     """
     plans = [(r.profile_id, r.capacity, r.domain) for r in bounded_rows(profiles.select("profile_id", "capacity", domain_name(F.col("domain")).alias("domain")), 64)]
-    if any(not c or c < 1 for _, c, _ in plans):
-        raise ValueError("a capacity must be at least 1")
+    if any(p is None or not c or c < 1 for p, c, _ in plans):
+        raise ValueError("a profile needs an id and a capacity of at least 1")
     own = sorted({d for _, _, d in plans if d != "unknown"})
     sized = sized_documents(docs, vocabulary)
     sized = sized.select("doc_id", "n_tokens", F.when(F.col("domain").isin(own), F.col("domain")).otherwise("").alias("kind"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))

@@ -116,8 +116,10 @@ _NUMBER = rf"(?:{_ARABIC}|{_HAN}+(?:点{_HAN}+)?)"
 
 
 def number_value(s: str) -> float | None:
-    """A number in digits (commas, powers of ten) or Chinese numerals; None where it is none."""
+    """A number in digits (commas, powers of ten) or Chinese numerals; None where it is none, or far too long for one."""
     s = s.strip()
+    if len(s) > 40:
+        return None
     if m := re.fullmatch(r"([\d,]*(?:\.\d+)?)(?<=\d)(?:\s*[×xX*]\s*10\s*\^\s*(-?\d+))?", s):
         return float(Fraction("0" + m[1].replace(",", "")) * Fraction(10) ** int(m[2] or 0))
     whole, _, part = s.partition("点")
@@ -150,7 +152,7 @@ class Mentions:
         unit = "|".join(re.escape(s).replace(r"\ ", r"\s?") for s in known)
         pressure = "|".join(re.escape(s).replace(r"\ ", r"\s?") for s in known if s in ("mmhg", "mm hg", "毫米汞柱", "kpa", "千帕"))
         rate = r"(?!\s*[/／每]|\^|[A-Za-z]|(?<=[A-Za-z])[0-9])"
-        before = r"(?<![A-Za-z0-9.,\-+])(?<!\d[-–:/])"
+        before = rf"(?<![A-Za-z0-9.,\-+])(?<!\d[-–:/])(?<!{_HAN})"  # no start within a number: long runs stay linear
         pair = rf"(?P<hi>{_NUMBER})\s*/\s*(?P<lo>{_NUMBER})\s*"
         height = rf"(?P<h1>{_NUMBER})\s*(?:(?P<m>米|m(?=\d\d(?!\d)))\s*(?P<h2>\d{{1,2}}(?![\d.])|{_HAN}{{1,3}})(?:\s*(?:厘米|公分|cm|CM))?(?!\s*[月日年岁天次]|{_HAN})|(?P<ft>英尺|feet|foot|ft|')\s*(?P<h3>{_NUMBER})\s*(?:英寸|inches|inch|in\b|\"|''|寸)?)"
         label = rf"(?:[(\[]\s*(?P<u2>{unit})\s*[)\]]|(?<=[^\W\d])/(?P<u3>{unit})(?=\s*[:=])|\b[Ii]n\s+(?P<u4>{unit})(?=\s*[:=]))\s*(?:[:=]|is|为|是)?\s*(?:(?P<lhi>{_NUMBER})\s*/\s*)?(?P<n2>{_NUMBER})(?:\s*(?:{unit})(?![A-Za-z]))?"
@@ -225,12 +227,12 @@ def quantities(messages: DataFrame, units: DataFrame) -> DataFrame:
 
     ``messages``: record_id, messages (array of role, content); ``units``: name, aliases, quantity, at most 1000 rows.
     Null or empty messages and contents give no rows; equal mentions in one turn give one row; repeated keys count once;
-    other columns are ignored. Amounts are rounded half up.
+    rows without a key are left out, other columns ignored. Amounts are rounded half up.
     """
     spark: SparkSession = messages.sparkSession
     known = unit_table([(r["name"], r["aliases"], r["quantity"]) for r in bounded_rows(units.where("name is not null").select("name", "aliases", "quantity"), 1000)])
     spellings = [s for s, *_ in known]
-    turns = messages.select("record_id", F.posexplode("messages").alias("turn", "message")).select("record_id", F.col("turn").cast("int"), F.col("message.content").alias("content"))
+    turns = messages.where("record_id is not null").select("record_id", F.posexplode("messages").alias("turn", "message")).select("record_id", F.col("turn").cast("int"), F.col("message.content").alias("content"))
     turns = turns.where(F.col("content").rlike(r"[0-9０-９零〇一二两三四五六七八九十百千]"))
 
     def scan(batches):

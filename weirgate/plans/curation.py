@@ -223,7 +223,7 @@ def term_expand(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("record_id").alias("p_partkey"), _user().alias("text"), codes.alias("codes"))
 
 
-@query("SELECT l_orderkey, l_linenumber, '剂量 ' || q || 'mg 与 ' || q || ' mL，服' || q || '毫升后' AS text, (CASE WHEN q * 60 > 2000 THEN 1 ELSE 0 END)::BIGINT AS warnings FROM (SELECT *, l_quantity::INT AS q FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, '剂量 ' || q || 'mg 与 ' || q || ' mL，服' || q || '毫升后' AS text, (CASE WHEN q * 60 > 2000 OR q * 60 < 0.01 THEN 1 ELSE 0 END)::BIGINT AS warnings FROM (SELECT *, l_quantity::INT AS q FROM lineitem)")
 def unit_canonical(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("剂量 "), q.cast("string"), F.lit("毫克 与 "), q.cast("string"), F.lit(" ml，服"), q.cast("string"), F.lit("毫升后")).alias("t"), F.concat((q * 60).cast("string"), F.lit("mg ")).alias("dose"))
