@@ -101,7 +101,9 @@ def implausible_doses(text: Column) -> Column:
     pattern = rf"(\d+(?:\.\d+)?)\s*({'|'.join(map(re.escape, units))})"
     whole, value, unit = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (0, 1, 2))
     hits = F.arrays_zip(whole.alias("whole"), value.alias("value"), unit.alias("unit"))
-    return F.concat(*[_out_of_range(hits, low, high, code, "剂量/数值可疑：", name) for name, low, high, code in R.DOSES])
+    # bound by a lambda: else the text would be searched again for every rule
+    found = F.transform(F.array(hits), lambda h: F.concat(*[_out_of_range(h, low, high, code, "剂量/数值可疑：", name) for name, low, high, code in R.DOSES]))
+    return found[0]
 
 
 def _out_of_range(hits: Column, low: float, high: float, code: str, label: str, unit: str | None = None) -> Column:
