@@ -83,10 +83,11 @@ def terminology(df: DataFrame, domain: str) -> DataFrame:
 
 
 def canonical_units(text: Column) -> Column:
-    """Aliases of units after a number brought to one name, one after the other."""
+    """Aliases of units after a number brought to one name: one pattern a unit, its own name left out."""
     for name, aliases in R.UNIT_ALIASES.items():
-        for a in aliases.split():
-            text = F.regexp_replace(text, java_pattern(rf"(?<!\w)(\d+(?:\.\d+)?\s*){re.escape(a)}(?!\w)"), f"$1{name}")
+        other = "|".join(re.escape(a) for a in sorted(aliases.split(), key=len, reverse=True) if a != name)
+        if other:
+            text = F.regexp_replace(text, java_pattern(rf"(?<!\w)(\d+(?:\.\d+)?\s*)(?:{other})(?!\w)"), f"$1{name}")
     return text
 
 
