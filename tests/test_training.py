@@ -33,6 +33,8 @@ def amounts(text):
         ("The temperature read 39.5 C.", [("temperature", 395)]),
         ("按每公斤体重 5mg/kg 计算，HGB 139 g/L，面积 24 m²，心率72次/分，5岁，占比3.5%", []),
         ("总胆固醇 5.2 mmol/L", []),
+        ("血压120/80，没有单位", []),
+        ("血压(mmHg)：120/80", [("pressure", 120), ("pressure", 80)]),
         ("第90页写着 mg 这个单位", []),
         ("一" * 20000 + "mg", []),
         ("", []),

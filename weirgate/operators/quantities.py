@@ -156,7 +156,7 @@ class Mentions:
         pair = rf"(?P<hi>{_NUMBER})\s*/\s*(?P<lo>{_NUMBER})\s*"
         height = rf"(?P<h1>{_NUMBER})\s*(?:(?P<m>米|m(?=\d\d(?!\d)))\s*(?P<h2>\d{{1,2}}(?![\d.])|{_HAN}{{1,3}})(?:\s*(?:厘米|公分|cm|CM))?(?!\s*[月日年岁天次]|{_HAN})|(?P<ft>英尺|feet|foot|ft|')\s*(?P<h3>{_NUMBER})\s*(?:英寸|inches|inch|in\b|\"|''|寸)?)"
         label = rf"(?:[(\[]\s*(?P<u2>{unit})\s*[)\]]|(?<=[^\W\d])/(?P<u3>{unit})(?=\s*[:=])|\b[Ii]n\s+(?P<u4>{unit})(?=\s*[:=]))\s*(?:[:=]|is|为|是)?\s*(?:(?P<lhi>{_NUMBER})\s*/\s*)?(?P<n2>{_NUMBER})(?:\s*(?:{unit})(?![A-Za-z]))?"
-        self.find = re.compile(rf"{label}|{before}(?:{pair}(?P<up>{pressure}){rate}|{height}|(?P<n1>{_NUMBER})\s*(?P<u1>{unit}){rate})|(?P<bp>\bBP\b|[Bb]lood pressure|血压)(?P<gap>[^\d]{{0,12}})(?P<bhi>\d{{2,3}})\s*/\s*(?P<blo>\d{{2,3}})(?!\s*(?:{pressure}))(?![\d/.])", re.I)
+        self.find = re.compile(rf"{label}|{before}(?:{pair}(?P<up>{pressure}){rate}|{height}|(?P<n1>{_NUMBER})\s*(?P<u1>{unit}){rate})", re.I)
         self.not_glucose = re.compile(r"(胆固醇|甘油三酯|尿酸|尿素|肌酐|血钾|血钠|血钙|血氯|胆红素|乳酸|[Cc]holesterol|[Tt]riglyceride|[Cc]reatinine|[Uu]rea|[Uu]ric|[Pp]otassium|[Ss]odium|[Cc]alcium|[Ll]actate)[^,;。，；]{0,12}$")
 
     @staticmethod
@@ -173,8 +173,6 @@ class Mentions:
             out: list[tuple[str, str]] = []
             if g["up"]:
                 out = [(g["up"], g["hi"]), (g["up"], g["lo"])]
-            elif g["bhi"]:
-                out = [("mmhg", g["bhi"]), ("mmhg", g["blo"])] if not re.search(r"k ?pa|千帕", g["gap"], re.I) else []
             elif g["h1"]:
                 yield from self.height(g)
                 continue
