@@ -96,3 +96,23 @@ def spread_sample(df: DataFrame, order: str) -> DataFrame:
     wanted = df.agg(F.percentile(F.col(order), F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("w"))
     values = [int(v) for v in wanted.first()["w"] or []]
     return df.where(F.col(order).isin(values))
+
+
+def status_by_class(df: DataFrame, group: str, status: str, known: list[str]) -> DataFrame:
+    """Rows of each class by status, one column for each known status."""
+    counted = df.groupBy(group).pivot(status, known).agg(F.count(F.lit(1)))
+    return counted.select(group, *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).cast("long").alias(s) for s in known])
+
+
+def first_match(docs: DataFrame, shortest: int, longest: int, word: str) -> DataFrame:
+    """The first document by id with a length in bounds that holds a word: a pick by design."""
+    fits = F.length("text").between(shortest, longest) & F.contains("text", F.lit(word))
+    return docs.where(fits).orderBy("doc_id").limit(1)
+
+
+def head_merge(parts: list[DataFrame], key: str, number: int) -> DataFrame:
+    """The first rows of each part by key, part after part: a merge of samples by design."""
+    from functools import reduce
+
+    heads = [p.orderBy(key).limit(number).withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    return reduce(lambda a, b: a.unionByName(b), heads)

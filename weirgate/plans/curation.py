@@ -379,3 +379,20 @@ def files_missing(spark: SparkSession, d: str) -> DataFrame:
     named = table(spark, d, "mmlu_csv_alpaca").select(source_file(F.col("source")).alias("file")).distinct().where("file <> 'unknown'")
     have = table(spark, d, "documents").select(F.col("source").alias("file")).where("file is not null").distinct()
     return named.join(have, "file", "left_anti")
+
+
+@query("SELECT coalesce(meta.format, 'none') AS format, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'kept') AS kept, count(*) FILTER (status = 'dropped') AS dropped FROM (SELECT record_id, any_value(meta) AS meta, any_value(status) AS status FROM work_item GROUP BY record_id) GROUP BY 1")
+def status_pivot(spark: SparkSession, d: str) -> DataFrame:
+    rows = one_per_key(table(spark, d, "work_item"), "record_id", "meta", "status").select(F.coalesce("meta.format", F.lit("none")).alias("format"), "status")
+    return verdict.status_by_class(rows, "format", "status", ["pending", "kept", "dropped"])
+
+
+@query("SELECT doc_id, text FROM documents WHERE length(text) BETWEEN 200 AND 2000 AND contains(text, '违约') ORDER BY doc_id LIMIT 1")
+def first_document(spark: SparkSession, d: str) -> DataFrame:
+    return verdict.first_match(table(spark, d, "documents").select("doc_id", "text"), 200, 2000, "违约")
+
+
+@query("SELECT doc_id, 0 AS part FROM (SELECT doc_id FROM documents WHERE source = 'lesson_notes.txt' ORDER BY doc_id LIMIT 10) UNION ALL SELECT doc_id, 1 AS part FROM (SELECT doc_id FROM documents WHERE source = 'crawl_misc.txt' ORDER BY doc_id LIMIT 10)")
+def head_merge(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return verdict.head_merge([docs.where(F.col("source") == s).select("doc_id") for s in ("lesson_notes.txt", "crawl_misc.txt")], "doc_id", 10)
