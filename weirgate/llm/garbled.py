@@ -195,7 +195,9 @@ def garbled_values(values: DataFrame) -> DataFrame:
     characters are no form of a clean word and so stay sound. Words, forms and tokens are spread over the cluster;
     each is made distinct before it is joined, and a token joins at most one form per word and chain.
     """
-    marked = values.where("key is not null and text is not null and text rlike '[^\\\\x00-\\\\x7f]'").select("key", "field", "text").distinct().withColumn("odd", _unusual(F.col("text")))
+    # work in Python is dealt out by number: adaptive plans would put small inputs into one or two tasks
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = values.where("key is not null and text is not null and text rlike '[^\\\\x00-\\\\x7f]'").select("key", "field", "text").distinct().repartition(tasks).withColumn("odd", _unusual(F.col("text")))
 
     def words(batches):
         for pdf in batches:
@@ -209,7 +211,7 @@ def garbled_values(values: DataFrame) -> DataFrame:
 
     spark = values.sparkSession
     clean = marked.where("not odd").select("text").mapInPandas(words, "word string").unionByName(spark.createDataFrame([(c,) for c in OTHER_WORDS], "word string")).distinct()
-    table = clean.mapInPandas(forms, "form string, chain string").distinct()
+    table = clean.repartition(tasks).mapInPandas(forms, "form string, chain string").distinct()
     longest = max(len(f) for w in ("啊啊", "，。") for f, _ in forms_of(w)) + 6
 
     def tokens(batches):
