@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirgate.sources.tables import durable
+
 #: Longest answer of one clause that may be a bare term; letters of an end that are compared, the longer first.
 TERM, ENDINGS = 8, (8, 4)
 #: A length is a limit where unfinished answers are at least so many, and so many times those of the lengths around it.
@@ -60,24 +62,30 @@ _OPTIONS = re.compile(r"\n\s*[AＡ]\s*[.．、:：)）].*", re.S)
 _MAIL = re.compile(r"(?<![A-Za-z0-9._+\-Ａ-Ｚａ-ｚ０-９＿．])[A-Za-z0-9._+\-Ａ-Ｚａ-ｚ０-９＿．]+\s?(?:@|＠|\[at\]|[(（]at[)）])\s?[A-Za-z0-9._\-Ａ-Ｚａ-ｚ０-９．]+(?:\s(?:dot|\[dot\])\s[A-Za-z0-9]+)*", re.I)
 
 
+_NO_LETTER = re.compile(r"[\W_]+")
+
+
 def letters(text: str) -> str:
     """Letters and digits only, one width, lower case."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
+    return _NO_LETTER.sub("", (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower())
+
+
+_SCRIPTS = [
+    ("zh", re.compile("[\u3400-\u4dbf\u4e00-\u9fff]")),
+    ("ja", re.compile("[\u3040-\u30ff\uff66-\uff9f]")),
+    ("ko", re.compile("[\uac00-\ud7a3]")),
+    ("latin", re.compile(r"[A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\uff21-\uff3a\uff41-\uff5a]")),
+    ("ru", re.compile("[\u0400-\u0481\u048a-\u052f]")),
+    ("ar", re.compile("[\u0620-\u064a\u066e-\u06d3]")),
+    ("th", re.compile("[\u0e01-\u0e30\u0e40-\u0e46]")),
+    ("el", re.compile("[\u0370-\u03ff]")),
+]
 
 
 def _scripts(text: str) -> Counter[str]:
-    out: Counter[str] = Counter()
-    for c in text:
-        o = ord(c)
-        if 0x4E00 <= o < 0xA000 or 0x3400 <= o < 0x4DC0:
-            out["zh"] += 1
-        elif 0x3040 <= o < 0x3100 or 0xFF66 <= o < 0xFFA0:
-            out["ja"] += 1
-        elif 0xAC00 <= o < 0xD7A4:
-            out["ko"] += 1
-        elif c.isalpha():
-            out["latin" if o < 0x250 or 0xFF21 <= o < 0xFF5B else "ru" if 0x400 <= o < 0x530 else "ar" if 0x600 <= o < 0x700 else "th" if 0xE00 <= o < 0xE80 else "el" if 0x370 <= o < 0x400 else "other"] += 1
-    return out
+    if text.isascii():
+        return Counter(latin=len(_SCRIPTS[3][1].findall(text)))
+    return Counter({k: n for k, p in _SCRIPTS if (n := len(p.findall(text)))})
 
 
 def _latin_language(text: str) -> str:
@@ -120,6 +128,8 @@ def other_language(question: str, answer: str) -> bool:
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
+    if len(_NO_LETTER.sub("", answer)) > 40:  # longer than any label with a placeholder
+        return False
     bare = _LABEL.sub("", unicodedata.normalize("NFKC", answer)).strip()
     core = "".join(c for c in bare if unicodedata.category(c)[0] in "LNS")
     if not core or all(not c.isalnum() and unicodedata.category(c) != "Sc" for c in core) and not re.search(r"[√×±≤≥≠=+<>]", core):
@@ -263,7 +273,8 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
             keys = list(stops.keys() | goes.keys())
             yield pd.DataFrame({"clause": keys, "stops": [stops[k] for k in keys], "goes_on": [goes[k] for k in keys]}).astype({"clause": "object", "stops": "int64", "goes_on": "int64"})
 
-    judged = pairs.select("table_name", "row_key", "question", "answer").mapInPandas(rules, kinds).distinct()
+    # kept once: filters on what it holds would else send every use through the rules again
+    judged = durable(pairs.select("table_name", "row_key", "question", "answer").mapInPandas(rules, kinds).where("defect is not null or rest is not null").distinct())
     counted = pairs.where("answer is not null").select("answer").mapInPandas(count, "clause string, stops long, goes_on long").groupBy("clause").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on"))
     open_ends = judged.where("defect is null and rest is not null").select("table_name", "row_key", "rest", "alone", "size")
 
