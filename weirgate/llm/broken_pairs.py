@@ -275,7 +275,8 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
 
     # kept once: filters on what it holds would else send every use through the rules again
     judged = durable(pairs.select("table_name", "row_key", "question", "answer").mapInPandas(rules, kinds).where("defect is not null or rest is not null").distinct())
-    counted = pairs.where("answer is not null").select("answer").mapInPandas(count, "clause string, stops long, goes_on long").groupBy("clause").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on"))
+    counted = pairs.where("answer is not null").select("answer").mapInPandas(count, "clause string, stops long, goes_on long")
+    counted = durable(counted.groupBy("clause").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on")))  # used by the sort and both lengths of endings
     open_ends = judged.where("defect is null and rest is not null").select("table_name", "row_key", "rest", "alone", "size")
 
     known = counted.withColumn("is_last", F.lit(False))
