@@ -263,6 +263,24 @@ def test_pair_rules(question, answer, defect):
     assert bp.pair_rules(question, answer)[0] == defect
 
 
+@pytest.mark.parametrize(
+    "question,answer,defect",
+    [
+        ("如何理解这个概念？", "यह उत्तर हिन्दी में लिखा गया है और पूरा है।", "other_language"),
+        ("如何理解这个概念？", "यह उत्तर हिन्दी में लिखा गया है और पूरा है", "other_language"),
+        ("How is this term to be understood?", "התשובה הזאת כתובה בעברית והיא שלמה.", "other_language"),
+        ("如何理解这个概念？", "এই উত্তরটি বাংলায় লেখা হয়েছে এবং সম্পূর্ণ।", "other_language"),
+        ("How is this term to be understood?", "Այս պատասխանը գրված է հայերեն և ամբողջական է։", "other_language"),
+        ("यह उत्तर हिन्दी में लिखा गया है और पूरा है?", "התשובה הזאת כתובה בעברית והיא שלמה.", "other_language"),
+        ("यह उत्तर हिन्दी में लिखा गया है और पूरा है?", "आप कैसे हैं, आज मौसम कैसा है, सब ठीक है.", None),
+        ("请把下面这句话翻译成印地语：你好吗，今天天气怎样。", "आप कैसे हैं, आज मौसम कैसा है, सब ठीक है.", None),
+        ("How is this term to be understood?", "𝐓𝐡𝐢𝐬 𝐢𝐬 𝐭𝐡𝐞 𝐚𝐧𝐬𝐰𝐞𝐫 𝐢𝐧 𝐛𝐨𝐥𝐝 𝐥𝐞𝐭𝐭𝐞𝐫𝐬.", None),
+    ],
+)
+def test_answers_in_other_scripts(question, answer, defect):
+    assert bp.pair_rules(question, answer)[0] == defect
+
+
 def test_broken_pairs_by_neighbours(spark):
     names = "甲乙丙丁戊己庚辛"
     rows = [("t", i, "问题是什么？", f"{names[i % 8]}方提交了材料，应当在{i}日内处理完毕。", 0) for i in range(64)]

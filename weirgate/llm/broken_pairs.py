@@ -58,6 +58,8 @@ _WORDS = {
     "nl": set("de het een en van is niet dat op te voor met zijn wordt als".split()),
 }
 _ASKS_FOR = [("en", re.compile(r"(?:译|翻)[^。，]{0,6}(?:英文|英语)|用(?:英文|英语)|(?:in|into) english", re.I)), ("zh", re.compile(r"(?:译|翻)[^。，]{0,6}(?:中文|汉语)|用(?:中文|汉语)|(?:in|into) chinese", re.I)), ("ja", re.compile(r"日文|日语|(?:in|into) japanese", re.I)), ("fr", re.compile(r"法文|法语|(?:in|into) french", re.I)), ("de", re.compile(r"德文|德语|(?:in|into) german", re.I)), ("ru", re.compile(r"俄文|俄语|(?:in|into) russian", re.I)), ("es", re.compile(r"西班牙|(?:in|into) spanish", re.I)), ("ko", re.compile(r"韩文|韩语|(?:in|into) korean", re.I))]
+#: Scripts of languages an answer may be asked for in, by the name ``language`` gives them.
+_ASKS_FOR_SCRIPT = {"devanagari": re.compile(r"印地|梵[文语]|尼泊尔[文语]|马拉地|\b(?:hindi|sanskrit|nepali|marathi|devanagari)\b", re.I), "hebrew": re.compile(r"希伯来|意第绪|\b(?:hebrew|yiddish)\b", re.I), "bengali": re.compile(r"孟加拉|\b(?:bengali|bangla)\b", re.I), "tamil": re.compile(r"泰米尔|\btamil\b", re.I), "georgian": re.compile(r"格鲁吉亚|\bgeorgian\b", re.I), "armenian": re.compile(r"亚美尼亚|\barmenian\b", re.I)}
 _OPTIONS = re.compile(r"\n\s*[AＡ]\s*[.．、:：)）].*", re.S)
 _MAIL = re.compile(r"(?<![A-Za-z0-9._+\-Ａ-Ｚａ-ｚ０-９＿．])[A-Za-z0-9._+\-Ａ-Ｚａ-ｚ０-９＿．]+\s?(?:@|＠|\[at\]|[(（]at[)）])\s?[A-Za-z0-9._\-Ａ-Ｚａ-ｚ０-９．]+(?:\s(?:dot|\[dot\])\s[A-Za-z0-9]+)*", re.I)
 
@@ -80,12 +82,20 @@ _SCRIPTS = [
     ("th", re.compile("[\u0e01-\u0e30\u0e40-\u0e46]")),
     ("el", re.compile("[\u0370-\u03ff]")),
 ]
+#: Letters that no pattern above takes. They count by the first word of their Unicode name, so that each script is one of its own.
+_REST = re.compile(r"[^\W\d_" + "".join(p.pattern[1:-1] for _, p in _SCRIPTS) + "]")
+_NAMED = {"CJK": "zh", "IDEOGRAPHIC": "zh", "HIRAGANA": "ja", "KATAKANA": "ja", "HANGUL": "ko", "LATIN": "latin", "CYRILLIC": "ru", "ARABIC": "ar", "THAI": "th", "GREEK": "el"}
 
 
 def _scripts(text: str) -> Counter[str]:
     if text.isascii():
         return Counter(latin=len(_SCRIPTS[3][1].findall(text)))
-    return Counter({k: n for k, p in _SCRIPTS if (n := len(p.findall(text)))})
+    out = Counter({k: n for k, p in _SCRIPTS if (n := len(p.findall(text)))})
+    for c in unicodedata.normalize("NFKC", "".join(_REST.findall(text))):
+        if c.isalpha():
+            name = unicodedata.name(c, "other").split(" ")[0]
+            out[_NAMED.get(name, name.lower())] += 1
+    return out
 
 
 def _latin_language(text: str) -> str:
@@ -100,7 +110,7 @@ def language(text: str) -> str | None:
     n = _scripts(text)
     if n["ja"] >= 3 and n["ja"] * 8 >= n["zh"] + n["ja"]:
         return "ja"
-    weigh = {k: v * (1 if k in ("latin", "ru", "el", "ar", "th", "other") else 3) for k, v in n.items() if k != "ja"}
+    weigh = {k: v * (3 if k in ("zh", "ko") else 1) for k, v in n.items() if k != "ja"}
     if not weigh:
         return None
     best = max(weigh, key=lambda k: (weigh[k], k))
@@ -116,6 +126,8 @@ def other_language(question: str, answer: str) -> bool:
     for code, asks in _ASKS_FOR:
         if asks.search(question):
             return said != code
+    if said in _ASKS_FOR_SCRIPT and _ASKS_FOR_SCRIPT[said].search(question):
+        return False
     stem = _MAIL.sub("", _OPTIONS.sub("", question))
     own = language(stem)
     n = _scripts(stem)
