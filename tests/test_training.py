@@ -1,5 +1,6 @@
 """Unit conversion and packing: edge cases, brute force, bounds."""
 
+import math
 import random
 from fractions import Fraction
 
@@ -44,6 +45,29 @@ def test_mentions(text, want):
     assert amounts(text)[: len(want) or None] == want
 
 
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("身高175cm，70kg", [("length", 1750), ("mass", 70 * 10**9)]),
+        ("体温，38.5℃", [("temperature", 385)]),
+        ("身高，1米75", [("length", 1750)]),
+        ("心率80，70kg，1，234mg", [("mass", 70 * 10**9), ("mass", 1234000)]),
+        ("He rested.70kg was read", [("mass", 70 * 10**9)]),
+        ("-20℃", [("temperature", -200)]),
+        ("贮存于-20℃~−5℃，T:-3℃", [("temperature", -200), ("temperature", -50), ("temperature", -30)]),
+        ("出入量 -500mL，服药+5mg", [("volume", -500), ("mass", 5000)]),
+        ("体重-70kg，血压-120/80mmHg", [("mass", 70 * 10**9), ("pressure", 120), ("pressure", 80)]),
+        ("36℃-38℃，5mg - 10mg", [("temperature", 360), ("temperature", 380), ("mass", 5000), ("mass", 10000)]),
+        ("BP120/80mmHg，T38.5℃，WT70 kg，GLU5.6mmol/L", [("pressure", 120), ("pressure", 80), ("temperature", 385), ("mass", 70 * 10**9), ("glucose", 56)]),
+        ("PaCO2 mmHg，B12 mg，CD4 in 2019，IL-6 in 2019，No.5 mg，TG1.7mmol/L，Na+140mmol/L，总胆固醇，5.2mmol/L", []),
+        ("36-38℃，三十-四十公斤，175,70kg", []),
+        ("a1" * 20000 + "1," * 20000 + "-1" * 20000 + "kg", []),
+    ],
+)
+def test_mentions_after_commas_signs_and_letters(text, want):
+    assert [(SPELLED[u][0], math.floor(v * SPELLED[u][1] + SPELLED[u][2] + 0.5 + 1e-9)) for u, v in FIND(text)] == want
+
+
 def test_number_words():
     assert [number_value(x) for x in ("一百零二", "二百五十", "十", "两", "三十六点五", "1,500", ".25", "二百五", "点")] == [102, 250, 10, 2, 36.5, 1500, 0.25, 250, None]
 

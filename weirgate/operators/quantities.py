@@ -115,6 +115,13 @@ _ARABIC = r"(?:(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?|\.\d+)(?:\s*[×xX*]\s*10\s*\
 _NUMBER = rf"(?:{_ARABIC}|{_HAN}+(?:点{_HAN}+)?)"
 
 
+_GLUCOSE = ("mmol/l", "mg/dl")
+_DEGREES = frozenset(spelling_key(s) for u in ("°C", "°F") for s in (u, *SPELLINGS[u]))
+#: Letters that are written directly before a number as its label, and those of glucose.
+_LABELS = re.compile(r"(?<![A-Za-z])(?:W|WT|BW|H|HT|T|TEMP|BT|P|[SD]?BP|GLU|GLUC|GLUCOSE|[FRPN]?B[GS]|[FP]PG)$", re.I)
+_SUGAR = re.compile(r"(?<![A-Za-z])(?:GLU|GLUC|GLUCOSE|SUGAR|[FRPN]?B[GS]|[FP]PG|is|was|of|at|to|and|or|from|about)$", re.I)
+
+
 def number_value(s: str) -> float | None:
     """A number in digits (commas, powers of ten) or Chinese numerals; None where it is none, or far too long for one."""
     s = s.strip()
@@ -152,7 +159,8 @@ class Mentions:
         unit = "|".join(re.escape(s).replace(r"\ ", r"\s?") for s in known)
         pressure = "|".join(re.escape(s).replace(r"\ ", r"\s?") for s in known if s in ("mmhg", "mm hg", "毫米汞柱", "kpa", "千帕"))
         rate = r"(?!\s*[/／每]|\^|[A-Za-z]|(?<=[A-Za-z])[0-9])"
-        before = rf"(?<![A-Za-z0-9.,\-+])(?<!\d[-–:/])(?<!{_HAN})"  # no start within a number: long runs stay linear
+        stop = r"(?<![Nn]o\.)(?<![A-Za-z](?=\.))"  # a full stop after a letter ends a sentence, it is no decimal point
+        before = rf"(?<!\d)(?<!\d[.,])(?<!\d[-+–:/])(?<!{_HAN})(?<!{_HAN}-){stop}"  # no start within a number: long runs stay linear
         pair = rf"(?P<hi>{_NUMBER})\s*/\s*(?P<lo>{_NUMBER})\s*"
         height = rf"(?P<h1>{_NUMBER})\s*(?:(?P<m>米|m(?=\d\d(?!\d)))\s*(?P<h2>\d{{1,2}}(?![\d.])|{_HAN}{{1,3}})(?:\s*(?:厘米|公分|cm|CM))?(?!\s*[月日年岁天次]|{_HAN})|(?P<ft>英尺|feet|foot|ft|')\s*(?P<h3>{_NUMBER})\s*(?:英寸|inches|inch|in\b|\"|''|寸)?)"
         label = rf"(?:[(\[]\s*(?P<u2>{unit})\s*[)\]]|(?<=[^\W\d])/(?P<u3>{unit})(?=\s*[:=])|\b[Ii]n\s+(?P<u4>{unit})(?=\s*[:=]))\s*(?:[:=]|is|为|是)?\s*(?:(?P<lhi>{_NUMBER})\s*/\s*)?(?P<n2>{_NUMBER})(?:\s*(?:{unit})(?![A-Za-z]))?"
@@ -163,14 +171,17 @@ class Mentions:
     def plain(text: str) -> str:
         """One width and one kind of blank; raised digits stay apart from ordinary ones."""
         text = text.replace("²", "^2").replace("³", "^3").replace("⁄", "/")
+        text = re.sub(r"(?<=\d)，(?!\d{3}(?!\d))", ", ", text)  # between numbers, unless it marks thousands
         text = re.sub("[­​-‏⁠﻿]", "", text)
         return unicodedata.normalize("NFKC", text).replace("∕", "/").replace("㏄", "cc").replace("μ", "μ")
 
     def __call__(self, text: str) -> Iterator[tuple[str, float]]:
         text = self.plain(text)
+        end = 0
         for m in self.find.finditer(text):
             g = m.groupdict()
             out: list[tuple[str, str]] = []
+            last, end, sign = end, m.end(), 1
             if g["up"]:
                 out = [(g["up"], g["hi"]), (g["up"], g["lo"])]
             elif g["h1"]:
@@ -180,14 +191,14 @@ class Mentions:
                 u = g["u2"] or g["u3"] or g["u4"]
                 out = [(u, g["lhi"])] if g["lhi"] else []
                 out.append((u, g["n2"]))
-            elif g["u1"] and self.meant(text, m):
+            elif g["u1"] and self.meant(text, m) and (sign := self.sign(text, m, last)):
                 out = [(g["u1"], g["n1"])]
             for u, n in out:
                 key = spelling_key(u)
-                if key in ("mmol/l", "mg/dl") and self.not_glucose.search(text[: m.start()]):
+                if key in _GLUCOSE and (self.not_glucose.search(text[: m.start()]) or g["u1"] and self.other_substance(text, m)):
                     continue
                 if (v := number_value(n)) is not None:
-                    yield key, v
+                    yield key, sign * v
 
     @staticmethod
     def height(g: dict[str, str | None]) -> Iterator[tuple[str, float]]:
@@ -202,6 +213,33 @@ class Mentions:
             one = len(g["h2"]) == 1
             yield "cm", a * 100 + (b * 10 if one else b)
 
+    @staticmethod
+    def sign(text: str, m: re.Match, last: int) -> int:
+        """-1 after a minus, 1 after anything else, 0 where the number belongs to a name or ends a range. ``last``: end of the mention before.
+
+        Only temperatures are below zero next to a word or at the start of an item; before others a dash there is a dash.
+        """
+        at = m.start()
+        dash = text[at - 1 : at] in ("-", "−")
+        prior = text[max(0, at - 12) : at - 1 if dash else at]
+        if re.search("[A-Za-z]$", prior) and not (dash and last == at - 1) and not _LABELS.search(prior):
+            if not ("." in m["n1"] or len(m["n1"]) > 1 and m.end("n1") == m.start("u1")):
+                return 0
+        if not dash or last and not text[last : at - 1].strip():
+            return 1
+        if re.search(r"\d\s+$", prior):
+            return 0
+        degrees = spelling_key(m["u1"]) in _DEGREES
+        return -1 if degrees or not prior or re.search(r"[ \t,:;=(\[<>~≤≥≈。、]$", prior) else 1
+
+    def other_substance(self, text: str, m: re.Match) -> bool:
+        """Whether what stands next to the number names something else than glucose."""
+        prior = text[max(0, m.start() - 40) : m.start()]
+        near = prior.rstrip(",-−+")
+        if re.search("[A-Za-z]$", near) and prior != prior.rstrip():
+            return False
+        return near != prior and bool(self.not_glucose.search(near)) or bool(re.search("[A-Za-z]$", near)) and not _SUGAR.search(near)
+
     def meant(self, text: str, m: re.Match) -> bool:
         """Whether a short or ambiguous unit stands for a measured quantity here."""
         u, after, prior = m["u1"], text[m.end() :], text[max(0, m.start() - 8) : m.start()]
