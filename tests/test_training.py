@@ -2,11 +2,12 @@
 
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
 
-from weirgate.operators.packing import fill_rates, pack, pack_histogram
+from weirgate.operators.packing import GROUP, fill_rates, pack, pack_histogram
 from weirgate.operators.quantities import CANONICAL, CONVERSIONS, Mentions, compositions, number_value, quantities, unit_table
 
 UNITS = [("mg", ["mg", None, " 毫克 "], "mass"), ("m", ["米", None], "length"), ("in", ["inch "], "length"), ("次/分", ["bpm"], None)]
@@ -107,6 +108,20 @@ def test_histogram_packing_keeps_everything():
         pack_histogram({11: 1}, 10, [10])
 
 
+def test_step_groups_hold_as_many_containers(spark):
+    from weirgate.functions.tokens import vocabulary_path
+
+    texts = ["word " * n for n in [*range(1, 60), *[200, 201, 202, 203] * 10, 320, 1000]]
+    docs = spark.createDataFrame([(i // 2, t, None) for i, t in enumerate(texts)], "doc_id long, text string, domain string")
+    profiles = spark.createDataFrame([(1, 16, None), (2, 64, None), (3, 1, None)], "profile_id int, capacity int, domain string")
+    rows = pack(docs, profiles, vocabulary_path("byte_bpe_multi_50k.tiktoken")).collect()
+    for p in (1, 2, 3):
+        # repeated doc_ids have full parts of one name: each row is a container of its own
+        boxes = {(r.step_group, r.container_id) for r in rows if r.profile_id == p and r.container_id[0] == "b"}
+        held = Counter([g for g, _ in boxes] + [r.step_group for r in rows if r.profile_id == p and r.container_id[0] == "d"])
+        assert max(held.values()) - min(held.values()) <= 1 and max(held.values()) <= GROUP and len(held) == -(-sum(held.values()) // GROUP)
+
+
 def test_packing(spark):
     from weirgate.functions.tokens import encoder, vocabulary_path
 

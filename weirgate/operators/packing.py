@@ -1,11 +1,13 @@
 """Filling containers of fixed capacity with documents sized in tokens.
 
 Hierarchical multi-length packing. The sizes that go into containers of capacity C are whole numbers from 1 to C, so
-the corpus is packed as a histogram of at most C bins, however many documents there are. Sizes are routed to tiers
-(the capacities of all profiles up to C); the longest tier is packed first, its gaps are filled from the shorter
-tiers, and equal fillings become one *pattern* with a number of copies. A document then finds its container from its
-rank among the documents of its size: ranks come from windows over salted size classes, so no class is ordered in one
-task. Copies of a pattern are dealt to step groups in turn, which balances the groups.
+the corpus is packed as a histogram of at most C bins, however many documents there are. Containers are filled largest
+first, in place of packing tier by tier: the largest size left opens a container, its gap is filled with the largest
+sizes that fit, and equal fillings become one *pattern* with a number of copies. The tier of a container (the smallest
+capacity of all profiles up to C that takes its largest item) follows from the filling and does not steer it. A document
+then finds its container from its rank among the documents of its size: ranks come from windows over salted size
+classes, so no class is ordered in one task. All containers, the full parts of long documents after the packed ones, are
+dealt to step groups in turn, so that the groups of a profile differ by one container at most.
 """
 
 from __future__ import annotations
@@ -95,12 +97,17 @@ def pack(docs: DataFrame, profiles: DataFrame, vocabulary: str) -> DataFrame:
     capacities = F.array(*[F.struct(F.lit(p).alias("profile_id"), F.lit(c).alias("capacity"), F.lit(d).alias("takes")) for p, c, d in plans])
     spread = lambda df: df.withColumn("p", F.explode(capacities)).select(*df.columns, "p.*").where((F.col("takes") == "unknown") | (F.col("takes") == F.col("kind"))).drop("takes").withColumn("size", F.when(F.col("n_tokens") <= F.col("capacity"), F.col("n_tokens")).otherwise(F.col("n_tokens") % F.col("capacity")))
 
-    counted = spread(ranked.groupBy(*classes).agg(F.count("*").alias("n"))).where("size > 0")
-    first = Window.partitionBy("profile_id", "size").orderBy(*classes).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("profile_id", "size", *classes, F.coalesce(F.sum("n").over(first), F.lit(0)).alias("start"))
+    full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("int")
+    counted = spread(ranked.groupBy(*classes).agg(F.count("*").alias("n"))).withColumn("full", full).where("size > 0 or full > 0")
+    earlier = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy("profile_id", *keys).orderBy(*classes).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # rank among the documents of a size, and among those of as many full parts (short documents have none to rank)
+    starts = counted.select("profile_id", "size", *classes, earlier("size").alias("start"), earlier("full", F.when(F.col("full") == 0, F.col("size"))).alias("full_start"))
     histogram: dict[int, dict[int, int]] = {p: {} for p, _, _ in plans}
-    for r in counted.groupBy("profile_id", "size").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
+    for r in counted.where("size > 0").groupBy("profile_id", "size").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
         histogram[r.profile_id][r.size] = r.n
+    fulls: dict[int, dict[int, int]] = {p: {} for p, _, _ in plans}
+    for r in counted.where("full > 0").groupBy("profile_id", "full").agg(F.sum("n").alias("n")).collect():  # at most the longest document by each capacity
+        fulls[r.profile_id][r.full] = r.n
 
     found = {}
     for p, c, _ in plans:
@@ -115,14 +122,17 @@ def pack(docs: DataFrame, profiles: DataFrame, vocabulary: str) -> DataFrame:
                 per.append(n), copies.append(x.copies), base.append(at), tier.append(x.tier)
             at += x.copies
         order = np.argsort(np.array(key, dtype=np.int64), kind="stable")
-        found[p] = [np.array(a, dtype=np.int64)[order] for a in (key, per, base, tier)] + [max(1, -(-at // GROUP))]
+        long, first = sorted(fulls[p]), [at]
+        for k in long:
+            first.append(first[-1] + k * fulls[p][k])
+        found[p] = [np.array(a, dtype=np.int64)[order] for a in (key, per, base, tier)] + [np.array(long, dtype=np.int64), np.array(first, dtype=np.int64), max(1, -(-first[-1] // GROUP))]
     shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def place(batches):
         for pdf in batches:
             out = []
             for p, g in pdf.groupby("profile_id", sort=False):
-                key, per, base, tier, groups = shared.value[int(p)]
+                key, per, base, tier, long, first, groups = shared.value[int(p)]
                 size, rank = g["size"].to_numpy(np.int64), g["rank"].to_numpy(np.int64) + g["start"].fillna(0).to_numpy(np.int64)
                 box = np.zeros(len(g), np.int64)
                 level = np.full(len(g), key.size and tier.min() or g["capacity"].iloc[0], np.int64)
@@ -131,20 +141,22 @@ def pack(docs: DataFrame, profiles: DataFrame, vocabulary: str) -> DataFrame:
                     i = np.searchsorted(key, size[some] * _SHIFT + rank[some], side="right") - 1
                     box[some] = base[i] + (size[some] * _SHIFT + rank[some] - key[i]) // per[i]
                     level[some] = tier[i]
-                out.append(pd.DataFrame({"profile_id": g["profile_id"], "capacity": g["capacity"], "doc_id": g["doc_id"], "n_tokens": g["n_tokens"], "size": size, "box": box, "tier": level, "groups": groups}))
+                full, turn = g["full"].to_numpy(np.int64), np.zeros(len(g), np.int64)
+                if (cut := full > 0).any():
+                    turn[cut] = first[np.searchsorted(long, full[cut])] + (g["rank"].to_numpy(np.int64) + g["full_start"].fillna(0).to_numpy(np.int64))[cut] * full[cut]
+                out.append(pd.DataFrame({"profile_id": g["profile_id"], "capacity": g["capacity"], "doc_id": g["doc_id"], "n_tokens": g["n_tokens"], "size": size, "full": full, "box": box, "turn": turn, "tier": level, "groups": groups}))
             if out:
                 yield pd.concat(out)
 
-    placed = spread(ranked).join(starts, ["profile_id", "size", *classes], "left").select("profile_id", "capacity", "doc_id", "n_tokens", "size", "rank", "start")
-    placed = placed.mapInPandas(place, "profile_id int, capacity int, doc_id long, n_tokens int, size int, box long, tier int, groups long")
-    full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("int")
-    parts = placed.withColumn("full", full).withColumn("part", F.explode(F.sequence(F.lit(0), F.when((F.col("size") > 0) | (F.col("n_tokens") == 0), F.col("full")).otherwise(F.col("full") - 1))))
+    placed = spread(ranked).withColumn("full", full).join(starts, ["profile_id", "size", *classes], "left").select("profile_id", "capacity", "doc_id", "n_tokens", "size", "full", "rank", "start", "full_start")
+    placed = placed.mapInPandas(place, "profile_id int, capacity int, doc_id long, n_tokens int, size int, full int, box long, turn long, tier int, groups long")
+    parts = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.when((F.col("size") > 0) | (F.col("n_tokens") == 0), F.col("full")).otherwise(F.col("full") - 1))))
     whole = F.col("part") < F.col("full")
     return parts.select(
         "profile_id",
         F.when(whole, F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("."), F.col("part").cast("string"))).otherwise(F.concat(F.lit("b"), F.col("box").cast("string"))).alias("container_id"),
         F.when(whole, F.col("capacity")).otherwise(F.col("tier")).alias("tier"),
-        F.pmod(F.when(whole, F.xxhash64("doc_id", "part")).otherwise(F.col("box")), F.col("groups")).alias("step_group"),
+        F.pmod(F.when(whole, F.col("turn") + F.col("part")).otherwise(F.col("box")), F.col("groups")).alias("step_group"),
         "doc_id",
         "part",
         F.when(whole, F.col("capacity")).otherwise(F.col("size")).alias("part_tokens"),
