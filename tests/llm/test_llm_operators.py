@@ -290,6 +290,17 @@ def test_broken_pairs_by_neighbours(spark):
     assert bp.broken_pairs(df.limit(0)).count() == 0
 
 
+def test_length_limits_do_not_depend_on_the_size_of_a_table(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))
+    cut = [word(40) for _ in range(8)]
+    answers = [*cut, *[word(n) for n in (31, 35, 44, 49)], *[word(70)] * 8]
+    for copies in (1, 10):
+        rows = [("t", k * 100 + i, "问题是什么？", a) for k in range(copies) for i, a in enumerate(answers)]
+        got = bp.broken_pairs(spark.createDataFrame(rows, "table_name string, row_key long, question string, answer string")).collect()
+        assert sorted((x.row_key, x.defect) for x in got) == [(k * 100 + i, "truncated") for k in range(copies) for i in range(len(cut))]
+
+
 # ---------------------------------------------------------------- 3
 def test_tagger_on_held_out_texts():
     r = random.Random(99)

@@ -20,8 +20,9 @@ from weirgate.sources.tables import durable
 
 #: Longest answer of one clause that may be a bare term; letters of an end that are compared, the longer first.
 TERM, ENDINGS = 8, (8, 4)
-#: A length is a limit where unfinished answers are at least so many, and so many times those of the lengths around it.
-SPIKE_LEAST, SPIKE_TIMES = 50, 8
+#: A length is a limit where unfinished answers end in at least so many different clauses, and are so many times those of
+#: the lengths around it. Neither depends on how often the same rows stand in a table.
+SPIKE_CLAUSES, SPIKE_TIMES = 5, 8
 
 #: Labels before an answer, placeholders for none, labels before a copied question.
 _LABEL = re.compile(r"^\W*(?:答案|答|回答|解答|答复|输出|answer|the answer is|response|output|a|reply)\s*(?:是|为|is)?\s*[:：]\s*", re.I)
@@ -301,9 +302,9 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         ends = counted.groupBy(F.right("clause", F.lit(n)).alias("ending")).agg(F.sum("stops").alias(f"stops_{n}"), F.sum("goes_on").alias(f"goes_on_{n}"))
         told = told.withColumn("ending", F.right("clause", F.lit(n))).join(ends, "ending", "left").drop("ending")
 
-    sizes = open_ends.groupBy("size").agg(F.count("*").alias("n"))  # one row per length
+    sizes = open_ends.groupBy("size").agg(F.count("*").alias("n"), F.countDistinct("rest").alias("different"))  # one row per length
     around = Window.orderBy("size").rangeBetween(-10, 10)
-    limits = sizes.withColumn("near", (F.sum("n").over(around) - F.col("n")) / 20).where((F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE_TIMES * F.col("near"))).select("size", F.lit(True).alias("at_limit"))
+    limits = sizes.withColumn("near", (F.sum("n").over(around) - F.col("n")) / 20).where((F.col("different") >= SPIKE_CLAUSES) & (F.col("n") >= SPIKE_TIMES * F.col("near"))).select("size", F.lit(True).alias("at_limit"))
 
     # the longest known ending decides; like: whether it is one of whole answers
     seen = [F.coalesce(F.col(f"stops_{n}") + F.col(f"goes_on_{n}") > 0, F.lit(False)) for n in ENDINGS]
