@@ -174,3 +174,26 @@ def test_exports_and_reports(spark):
     assert domain_slug("医疗") == "medical" and domain_slug("?") == "generic" and find_preset("legal")[1] == "regex"
     cut = pasted(spark, ["a\n\n b \n \n", ""]).selectExpr("raw:document::string") if False else pasted(spark, ["a\n\n b \n \n", ""])
     assert cut.count() == 2
+
+
+def test_operators_over_whole_tables(spark, tmp_path):
+    from weirgate.plans.curation import QUERIES
+
+    history = "主诉：胸闷三天\n现病史：三天前出现胸闷，伴气短。\n诊断：冠心病\n治疗：口服药物"
+    statute = "第一章 总则\n第一条 为了规范管理，制定本法。\n（一）分项\n第二条 依《民法典》第八条办理。"
+    docs = [(1, history), (2, statute), (2, statute), (3, "普通文字"), (4, None), (None, statute)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = lambda text, said: [("user", text), ("assistant", said)]
+    items = [(10, "a", turns(history, "建议口服药物，定期复查心电图，避免劳累。")), (10, "a", turns(history, "建议口服药物，定期复查心电图，避免劳累。")), (11, "a", turns("普通文字", "建议多休息，按时复查，注意饮食均衡。")), (12, "a", None)]
+    spark.createDataFrame(items, "record_id long, source string, messages array<struct<role:string,content:string>>").write.parquet(f"{tmp_path}/work_item.parquet")
+    got = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+    assert [r[:3] for r in got("documents_sections")] == [(1, 0, "主诉"), (1, 1, "现病史"), (1, 2, "诊断"), (1, 3, "治疗")]
+    assert got("documents_clauses") == [(2, 1, 0, "章", "1"), (2, 2, 1, "条", "1"), (2, 3, 2, "项", "1"), (2, 4, 1, "条", "2")]
+    assert sorted(r[2] for r in got("documents_citations")) == ["《民法典》", "第一条", "第二条", "第八条"]
+    assert [r[0] for r in QUERIES["documents_doc_type"](spark, str(tmp_path)).where("doc_type = '法规'").collect()] == [2]
+    assert QUERIES["documents_doc_type"](spark, str(tmp_path)).count() == 4
+    assert all(r[0] in (1, 2) for r in got("documents_parts"))
+    assert [r[0] for r in got("documents_gen_medical")] == [1] and [r[0] for r in got("documents_gen_legal")] == [2]
+    assert [r[0] for r in got("documents_curated")] == [2]
+    rows = {r.record_id: r for r in QUERIES["work_item_curated"](spark, str(tmp_path)).collect()}
+    assert rows.keys() == {10, 11, 12} and rows[10].status == "kept" and rows[11].status == "dropped" and "缺失" in rows[11].drop_reason

@@ -331,6 +331,73 @@ def gen_legal(spark: SparkSession, d: str) -> DataFrame:
     return generators.generate(table(spark, d, "nation").select(k.alias("key"), text.alias("text")), "legal").select("key", "output")
 
 
+# ---------------------------------------------------------------- whole tables
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return one_per_key(table(spark, d, "documents").where("doc_id is not null"), "doc_id", "text")
+
+
+@query()
+def documents_sections(spark: SparkSession, d: str) -> DataFrame:
+    blocks = _documents(spark, d).select("doc_id", F.posexplode(stages.sections_of("text")).alias("place", "b"))
+    return blocks.select("doc_id", "place", "b.name", "b.body")
+
+
+@query()
+def documents_clauses(spark: SparkSession, d: str) -> DataFrame:
+    trees = _documents(spark, d).select("doc_id", F.explode(stages.clause_trees("text")).alias("n"))
+    return trees.select("doc_id", "n.node_id", "n.parent_id", "n.kind", "n.no")
+
+
+@query()
+def documents_citations(spark: SparkSession, d: str) -> DataFrame:
+    found = _documents(spark, d).select("doc_id", stages.citations_of(F.array(stages.canonical_citations(F.col("text")))).alias("citations"))
+    return found.where(F.size("citations") > 0).select("doc_id", F.posexplode("citations").alias("place", "citation"))
+
+
+@query()
+def documents_doc_type(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", stages.doc_type_of(F.col("text")).alias("doc_type"))
+
+
+@query()
+def documents_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.explode(stages.legal_parts("text")).alias("part", "lines"))
+
+
+def _drawn(spark: SparkSession, d: str, domain: str) -> DataFrame:
+    return generators.generate(_documents(spark, d).select(F.col("doc_id").alias("key"), "text"), domain)
+
+
+@query()
+def documents_gen_medical(spark: SparkSession, d: str) -> DataFrame:
+    return _drawn(spark, d, "medical").select("key", "output")
+
+
+@query()
+def documents_gen_legal(spark: SparkSession, d: str) -> DataFrame:
+    return _drawn(spark, d, "legal").select("key", "output")
+
+
+def _curated(items: DataFrame, domain: str, preset: str) -> DataFrame:
+    from weirgate.plans.pipeline import curate
+
+    return curate(items, domain, preset).select("record_id", "status", "drop_reason", "domain_score", _codes().alias("codes"))
+
+
+@query()
+def documents_curated(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs drawn from legal documents, curated as the pipeline does."""
+    pairs = _drawn(spark, d, "legal")
+    return _curated(_items(pairs, "key", F.concat_ws("\n", "instruction", "input"), F.col("output")), "legal", "legal_cn")
+
+
+@query()
+def work_item_curated(spark: SparkSession, d: str) -> DataFrame:
+    """Every work item from the start, as a case history."""
+    rows = one_per_key(table(spark, d, "work_item").where("record_id is not null"), "record_id", "source", "messages")
+    return _curated(rows.withColumn("meta", F.lit(None).cast(META)).withColumn("issues", no_issues()), "medical", "medical_cn")
+
+
 # ---------------------------------------------------------------- reports
 @query("SELECT i.stage AS stage, count(*) AS issues, count(DISTINCT CASE WHEN i.level = 'cleaned' THEN record_id END) AS cleaned_rows FROM (SELECT record_id, unnest(issues) AS i FROM (SELECT record_id, any_value(issues) AS issues FROM work_item GROUP BY record_id)) GROUP BY 1")
 def stage_stats(spark: SparkSession, d: str) -> DataFrame:
