@@ -3,11 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from weirgate.functions.tokens import vocabulary_path
 from weirgate.llm import broken_pairs as bp
-from weirgate.llm import garbled, junk_pages, leakage, pii, pii_training, token_budget, visual_form
+from weirgate.llm import garbled, junk_pages, junk_training, leakage, pii, pii_training, token_budget, visual_form
 from weirgate.llm.byte_bpe import byte_bpe, encode_documents
 
 PUBLIC = pytest.importorskip("public_tokenizers")
@@ -114,7 +115,39 @@ PROSE = "患者自述近两个月反复出现头晕，伴有乏力，休息后
     ],
 )
 def test_junk(text, junk):
-    assert (junk_pages.junk_share(text) > 0.5) == junk
+    assert (junk_pages.junk_shares([text])[0] > 0.5) == junk
+
+
+def by_pieces_alone(text):
+    """The share that comes out if each piece is judged by its own measures, without the moves of the model."""
+    pieces = junk_pages.measured([text])
+    m = junk_pages.model()
+    alone = junk_pages.Model(m.first, 0 * m.moves, m.emit)
+    junk = [s in junk_pages.JUNK for s in (alone.scores(pieces.measures) + np.log(np.exp(m.first))).argmax(1)]
+    return float((pieces.visible * junk).sum() / pieces.visible.sum())
+
+
+#: Lists of which some pieces say little by themselves: the pieces around them decide.
+WEAK_TAGS = "血压计 现货 | 血压计 送礼 | 理财课 正品 | 筋膜枪 送礼 | 足浴盆 轻便 | 护眼台灯 正品 | 筋膜枪 厂家直销 | 足浴盆 官方 | 足浴盆 现货 | 血压计 批发 | 足浴盆 新款 | 真皮公文包 特价"
+WEAK_LINKS = "\n".join(x for i in range(12) for x in (f"http://a{i}.example/item/{i}", f"https://www.b{i}.test/go/{i}", "甲乙丙丁戊己庚辛壬癸子丑"[i] + "站入口"))
+
+
+def test_neighbours_decide_where_a_piece_says_little():
+    assert list(junk_pages.junk_shares([WEAK_TAGS, WEAK_LINKS])) == [1.0, 1.0]
+    assert by_pieces_alone(WEAK_TAGS) < 0.5
+
+
+def test_pages_are_judged_alike_alone_and_together():
+    texts = [WEAK_LINKS, PROSE, None, "", WEAK_TAGS, PROSE * 50, "x"]
+    together = junk_pages.junk_shares(texts)
+    assert [junk_pages.junk_shares([t])[0] for t in texts] == list(together)
+
+
+def test_the_model_is_fitted_from_pages():
+    texts = [PROSE * k for k in range(1, 30)] + [WEAK_LINKS, WEAK_TAGS] * 10
+    first, last = (junk_training.fit(texts, rounds=k, say=lambda s: None) for k in (1, 4))
+    score = lambda m: sum(junk_training.log_likelihood(t, m) for t in texts)
+    assert score(last) >= score(first) and not np.allclose(np.exp(last.moves), junk_training.prior()[1])
 
 
 def test_junk_pages_edges(spark):
