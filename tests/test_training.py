@@ -5,9 +5,10 @@ import random
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import pytest
 
-from weirgate.operators.packing import GROUP, fill_rates, pack, pack_histogram
+from weirgate.operators.packing import GROUP, balance, fill_rates, pack, pack_histogram, salted, step_group, tiers_of
 from weirgate.operators.quantities import CANONICAL, CONVERSIONS, Mentions, compositions, number_value, quantities, unit_table
 
 UNITS = [("mg", ["mg", None, " 毫克 "], "mass"), ("m", ["米", None], "length"), ("in", ["inch "], "length"), ("次/分", ["bpm"], None)]
@@ -94,7 +95,7 @@ def test_histogram_packing_keeps_everything():
     for _ in range(30):
         cap = r.choice((10, 64, 512))
         counts = {s: r.randrange(1, 50) for s in {r.randrange(1, cap + 1) for _ in range(r.randrange(0, 40))}}
-        patterns = pack_histogram(counts, cap, [cap // 2, cap])
+        patterns = pack_histogram(counts, cap, tiers_of(cap))
         back: dict = {}
         for p in patterns:
             assert sum(s * n for s, n in p.items) <= cap and p.copies > 0
@@ -108,6 +109,36 @@ def test_histogram_packing_keeps_everything():
         pack_histogram({11: 1}, 10, [10])
 
 
+def test_tiers_steer_the_packing():
+    r = random.Random(4)
+    counts = {s: r.randrange(1, 20) for s in r.sample(range(1, 513), 200)}
+    filled = lambda tiers: Counter({tuple(sorted(p.items)): p.copies for p in pack_histogram(counts, 512, tiers)})
+    by_tier, flat = filled(tiers_of(512)), filled([512])
+    assert by_tier != flat
+    for p in pack_histogram(counts, 512, tiers_of(512)):
+        opener = max(s for s, _ in p.items)
+        assert p.tier == min(t for t in tiers_of(512) if t >= opener) and p.gap == 512 - sum(s * n for s, n in p.items)
+    assert sum(by_tier.values()) <= 1.01 * sum(flat.values())
+    # items of a tier are packed among themselves before shorter ones fill the gaps
+    assert [sorted(p.items) for p in pack_histogram({30: 2, 33: 1, 4: 3}, 64, [32, 64])] == [[(30, 1), (33, 1)], [(4, 3), (30, 1)]]
+
+
+def test_step_groups_are_balanced_in_cost():
+    r = random.Random(9)
+    counts = {s: r.randrange(1, 200) for s in r.sample(range(1, 513), 300)}
+    costs = sorted((p.cost for p in pack_histogram(counts, 512, tiers_of(512)) for _ in range(p.copies)), reverse=True)
+    groups = -(-len(costs) // GROUP)
+    place = np.arange(len(costs))
+    ratio = lambda group: (sums := np.bincount(group, costs)).max() / sums.mean()
+    assert ratio(step_group(place, groups)) < min(1.1, ratio(place % groups), ratio(place // GROUP))
+
+
+def test_large_classes_are_salted(spark):
+    sized = spark.createDataFrame([(i, 7, "") for i in range(100)] + [(i, 9, "legal") for i in range(5)], "doc_id long, n_tokens int, kind string")
+    got = Counter((x.n_tokens, x.salt) for x in salted(sized, 20).collect())
+    assert len([k for k in got if k[0] == 7]) == 5 and got[9, 0] == 5 and sum(got.values()) == 105
+
+
 def test_step_groups_hold_as_many_containers(spark):
     from weirgate.functions.tokens import vocabulary_path
 
@@ -142,8 +173,9 @@ def test_packing(spark):
             parts = sorted((r.part, r.part_tokens) for r in mine if r.doc_id == i)
             assert [k for k, _ in parts] == list(range(len(parts))) and parts and sum(n for _, n in parts) == sizes[i]
         assert {r.doc_id for r in mine} == set(own)
-    rates = {r.profile_id: r.filled for r in fill_rates(pack(docs, profiles, path), profiles).collect()}
-    assert all(0.5 < f <= 1 for f in rates.values())
+    rates = {r.profile_id: r.filled for r in fill_rates(pack(docs, profiles, path), profiles).collect() if r.tier is None}
+    assert len(rates) == 2 and all(0.5 < f <= 1 for f in rates.values())
+    assert {r.profile_id for r in balance(pack(docs, profiles, path)).collect()} == {1, 2}
     assert pack(docs.limit(0), profiles, path).count() == 0
     with pytest.raises(ValueError):
         pack(docs, spark.createDataFrame([(1, None, None)], "profile_id int, capacity int, domain string"), path)

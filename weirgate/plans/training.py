@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weirgate.functions.tokens import vocabulary_path
-from weirgate.operators.packing import fill_rates, pack
+from weirgate.operators.packing import balance, fill_rates, pack
 from weirgate.operators.quantities import quantities
 from weirgate.sources.tables import table
 
@@ -25,5 +25,9 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_rates(p9_pack(spark, d), table(spark, d, "pack_profile"))
 
 
-QUERIES = {"p5_found": p5_found, "p9_pack": p9_pack, "p9_fill": p9_fill}
+def p9_balance(spark: SparkSession, d: str) -> DataFrame:
+    return balance(p9_pack(spark, d))
+
+
+QUERIES = {"p5_found": p5_found, "p9_pack": p9_pack, "p9_fill": p9_fill, "p9_balance": p9_balance}
 ORACLES: dict[str, str] = {}
