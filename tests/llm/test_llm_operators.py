@@ -210,23 +210,77 @@ def test_leaks_against_brute_force():
         lo = r.randrange(0, n // 2)
         piece = q[lo : lo + r.randrange(n // 3, n)]
         texts.append(word() + (piece.upper() if r.random() < 0.5 else "，".join(piece)) + word())
-    index = leakage.Items(items, 0.5, 0)
-    got = set(index.leaks(texts))
-    assert got == brute_leaks(texts, items) and len(got) > 50
+    for edits in (0, 1):
+        got = set(leakage.Items(items, 0.5, edits).leaks(texts))
+        assert got == brute_leaks(texts, items) and len(got) > 50
+
+
+def edited(r, q, edits):
+    q = list(q)
+    for _ in range(edits):
+        k = r.randrange(len(q))
+        q[k : k + r.choice((0, 1))] = r.choice(["", "z", "zz"])
+    return "".join(q)
 
 
-def test_leaks_with_edits_reach_the_recall():
+@pytest.mark.parametrize("edits", [1, 2])
+def test_repeated_sampling_reaches_the_recall(edits):
     r = random.Random(8)
-    items = [(i, "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(80))) for i in range(10)]
-    index = leakage.Items(items, 0.5, 2)
-    hits = 0
-    for k in range(60):
-        q = list(items[k % 10][1][5:60])
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    items = [(i, word(80)) for i in range(10)]
+    index = leakage.Items(items, 0.5, edits, unbroken=False)
+    texts = [word(40) + edited(r, items[k % 10][1][5:50], edits) + word(30) for k in range(200)]
+    # brute force: some passage of 40 letters within the edits
+    true = {(n, n % 10) for n, t in enumerate(texts) if any(leakage.within_edits(items[n % 10][1][i : i + 40], t, edits) for i in range(41))}
+    got = set(index.leaks(texts))
+    assert len(true) > 150 and got <= true and len(got & true) >= 0.95 * len(true)
+
+
+def test_one_round_misses_edited_windows_that_all_rounds_find():
+    r = random.Random(11)
+    h = leakage.WindowHash(16, 2)
+    a = np.array([r.randrange(1, 60000) for _ in range(16 * 500)], np.uint32)
+    b = a.copy()
+    for k in range(500):
         for _ in range(2):
-            q[r.randrange(len(q))] = "z"
-        text = "".join(r.choice("mnopq") for _ in range(40)) + "".join(q)
-        hits += (0, k % 10) in index.leaks([text])
-    assert hits >= 0.9 * 60
+            b[16 * k + r.randrange(16)] = 7
+    starts = np.arange(500) * 16
+    met = [h(leakage.mixed(a), starts, k) == h(leakage.mixed(b), starts, k) for k in range(h.rounds)]
+    assert h.rounds > 3 and met[0].mean() < 0.8 and np.any(met, axis=0).mean() > 0.95
+    same = [h(leakage.mixed(a), starts, k) == h(leakage.mixed(a.copy()), starts, k) for k in range(h.rounds)]
+    assert all(x.all() for x in same)
+
+
+def test_edits_apart_against_brute_force():
+    r = random.Random(12)
+    for limit in (0, 1, 2):
+        rows = [[r.randrange(3) for _ in range(7)] for _ in range(300)]
+        texts = [([*row] if r.random() < 0.5 else [r.randrange(3) for _ in range(7)]) + [r.randrange(3) for _ in range(limit)] for row in rows]
+        for t in texts:
+            if r.random() < 0.5:
+                t.insert(r.randrange(7), t.pop(r.randrange(7)))
+        distance = lambda a, b: distance_table(a, b)[-1][-1]
+
+        def distance_table(a, b):
+            d = [list(range(len(b) + 1))]
+            for i, x in enumerate(a, 1):
+                d.append([i])
+                for j, y in enumerate(b, 1):
+                    d[i].append(min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (x != y)))
+            return d
+
+        want = [min(distance(a, t[:n]) for n in range(len(t) + 1)) <= limit for a, t in zip(rows, texts)]
+        assert list(leakage.edits_apart(np.array(rows), np.array(texts), limit)) == want
+
+
+def test_a_short_item_changes_nothing_for_the_others():
+    r = random.Random(13)
+    word = lambda n: "".join(r.choice("甲乙丙丁戊己庚辛壬癸") for _ in range(n))
+    items = [(i, word(60)) for i in range(5)]
+    both = leakage.Items([*items, (99, "xy")], 0.5, 1)
+    alone = leakage.Items(items, 0.5, 1)
+    assert [(g.window, g.stride) for g in both.groups[1:]] == [(g.window, g.stride) for g in alone.groups]
+    assert both.leaks([word(30), "a x b", items[2][1][:30]]) == [(1, 99), (2, 2)]
 
 
 def test_leaked_edges(spark):
@@ -234,6 +288,9 @@ def test_leaked_edges(spark):
     rows = spark.createDataFrame([("t", 1, "前文" + q[:24] + "后文", 0), ("t", 1, "前文" + q[:24] + "后文", 1), ("t", 2, None, 0), ("t", 3, "", 0), ("t", None, q, 0), ("u", 4, "长" * 50000 + q, 0)], "table_name string, row_key long, text string, item_id int")
     items = spark.createDataFrame([(7, q), (8, None), (9, "？！"), (None, "x")], "item_id long, question string")
     assert sorted(tuple(r) for r in leakage.leaked(rows, items).collect()) == [("t", 1, 7), ("u", 4, 7)]
+    assert sorted(tuple(r) for r in leakage.leaked(rows, items, block=1).collect()) == [("t", 1, 7), ("u", 4, 7)]
+    near = spark.createDataFrame([("t", 1, "前文" + q[:12] + "错" + q[12:24] + "后文")], "table_name string, row_key long, text string")
+    assert leakage.leaked(near, items).count() == 0 and leakage.leaked(near, items, unbroken=False).count() == 1
     assert leakage.leaked(rows, items.limit(0)).count() == 0 and leakage.leaked(rows.limit(0), items).count() == 0
 
 

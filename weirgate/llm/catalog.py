@@ -60,10 +60,19 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return exam.unionByName(items).select("table_name", "key", "turn", visual_form(F.col("text")).alias("form")).distinct()
 
 
-def p6_found(spark: SparkSession, d: str) -> DataFrame:
+def _read_for_leaks(spark: SparkSession, d: str) -> DataFrame:
     pairs = table(spark, d, "mmlu_csv_alpaca").select(F.lit("mmlu_csv_alpaca").alias("table_name"), F.col("row_id").alias("row_key"), F.col("instruction").alias("text"))
     docs = table(spark, d, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("row_key"), "text")
-    return leaked(pairs.unionByName(docs), table(spark, d, "fineval_mcq_finance"))
+    return pairs.unionByName(docs)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(_read_for_leaks(spark, d), table(spark, d, "fineval_mcq_finance"))
+
+
+def p6_near(spark: SparkSession, d: str) -> DataFrame:
+    """Also passages with one letter changed, added or left out."""
+    return leaked(_read_for_leaks(spark, d), table(spark, d, "fineval_mcq_finance"), unbroken=False)
 
 
 def p7_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -84,5 +93,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return junk_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_near": p6_near, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}
