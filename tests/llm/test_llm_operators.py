@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -184,6 +185,21 @@ def test_look_alike_pairs(spark):
     got = sorted(tuple(r) for r in visual_form.look_alike_pairs(spark.createDataFrame(rows, schema)).collect())
     assert got == [("t", 1, 2), ("t", 1, 3)]
     assert visual_form.look_alike_pairs(spark.createDataFrame([], schema)).count() == 0
+    classes = {(r.table_name, r.key): (r.n_texts, r.n_keys) for r in visual_form.look_alike_classes(spark.createDataFrame(rows, schema)).collect()}
+    assert classes == {("t", 1): (2, 3), ("t", 2): (2, 3), ("t", 3): (2, 3), ("u", 4): (1, 1)}
+    assert visual_form.look_alike_classes(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_one_pass_equals_clusters_taken_one_by_one():
+    m = visual_form.visual_mapping()
+    run = visual_form.transducer()
+    r = random.Random(21)
+    some = [*"aeoАеｅ，Ω℃　\u200b\u00ad", "\u0301", "\u0308", "\u0323", "é", "方"]
+    for _ in range(2000):
+        t = "".join(r.choice(some) for _ in range(r.randrange(1, 12)))
+        clusters = re.findall("[^\u0301\u0308\u0323\u200b\u00ad](?:[\u200b\u00ad]*[\u0301\u0308\u0323])*|.", t, re.S)
+        plain = [unicodedata.normalize("NFC", "".join(m.get(x, x) for x in c)) for c in clusters]
+        assert run(t) == "".join(m.get(p, p) if len(p) == 1 else p for p in plain), ascii(t)
 
 
 # ---------------------------------------------------------------- 6

@@ -15,7 +15,7 @@ from weirgate.llm.junk_pages import junk_pages
 from weirgate.llm.leakage import leaked
 from weirgate.llm.pii import personal_information
 from weirgate.llm.token_budget import token_budget
-from weirgate.llm.visual_form import look_alike_pairs, visual_form
+from weirgate.llm.visual_form import look_alike_classes, look_alike_pairs, visual_form
 from weirgate.sources.tables import table
 
 
@@ -54,6 +54,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(_visible_texts(spark, d))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_classes(_visible_texts(spark, d))
+
+
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     exam = table(spark, d, "cmmlu_education").select(F.lit("cmmlu_education").alias("table_name"), F.col("row_no").alias("key"), F.lit(0).alias("turn"), F.col("question").alias("text"))
     items = table(spark, d, "work_item").select(F.lit("work_item").alias("table_name"), F.col("record_id").alias("key"), F.posexplode("messages").alias("turn", "m")).select("table_name", "key", "turn", F.col("m.content").alias("text"))
@@ -93,5 +97,5 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return junk_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_forms": p4_forms, "p6_found": p6_found, "p6_near": p6_near, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_redacted": p3_redacted, "p4_found": p4_found, "p4_classes": p4_classes, "p4_forms": p4_forms, "p6_found": p6_found, "p6_near": p6_near, "p7_found": p7_found, "p7_restored": p7_restored, "p10_found": p10_found, "p1_token_budget": p1_token_budget, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}

@@ -8,6 +8,7 @@ drops characters that are not seen. Case, accents, raised digits, other letters
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
 import unicodedata
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirgate.sources.tables import durable
+
 #: Letters of other scripts that look like Latin ones (Cyrillic, Greek, then their Latin twins).
 LOOK_ALIKES = [
     ("АВЕЅІЈКМНОРСТУХԌԚԜѴ", "ABESIJKMHOPCTYXGQWV"),
@@ -84,37 +87,45 @@ def check_mapping(mapping: dict[str, str]) -> None:
             raise ValueError(f"{k!r} loses a mark")
 
 
+class _Forms(dict):
+    """Grapheme cluster -> its form; clusters with marks are added when they are first seen."""
+
+    def __init__(self, mapping: dict[str, str]):
+        super().__init__({k: v for k, v in mapping.items() if len(k) == 1})
+        self.mapping, self.longest = mapping, max(map(len, mapping))
+
+    def __missing__(self, cluster: str) -> str:
+        """Longest matches from left to right; what is no key is composed by the rules of Unicode."""
+        s, at, out = "".join(self.get(c, c) for c in cluster), 0, ""
+        while at < len(s):
+            n = next((n for n in range(min(self.longest, len(s) - at), 1, -1) if s[at : at + n] in self.mapping), 1)
+            out += self.mapping.get(s[at : at + n], s[at : at + n])
+            at += n
+        out = unicodedata.normalize("NFC", out)
+        if len(cluster) <= 4:
+            self[cluster] = out
+        return out
+
+
 class Transducer:
-    """Longest match of the mapping from left to right; a cluster that is no key is composed by the rules of Unicode."""
+    """One pass from left to right over a text: an automaton stops at the longest cluster that can change (a character with
+    its marks, or a character that is a key), the table gives its form, and everything between is copied."""
 
     def __init__(self, mapping: dict[str, str]):
         check_mapping(mapping)
-        self.mapping = mapping
-        self.longest = max(map(len, mapping))
-        singles = {ord(k): v for k, v in mapping.items() if len(k) == 1}
-        self.singles = singles
+        self.forms = _Forms(mapping)
         unseen = "".join(re.escape(k) for k, v in mapping.items() if not v)
-        marks = "".join(map(chr, (c for c in range(0x300, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c)))))
-        self.cluster = re.compile(f"[^{re.escape(marks)}{unseen}](?:[{unseen}]*[{re.escape(marks)}])+")
-
-    def _compose(self, m: re.Match) -> str:
-        s = m[0].translate(self.singles)
-        at, out = 0, ""
-        while at < len(s):
-            for n in range(min(self.longest, len(s) - at), 0, -1):
-                if s[at : at + n] in self.mapping:
-                    out += self.mapping[s[at : at + n]]
-                    at += n
-                    break
-            else:
-                out += s[at]
-                at += 1
-        return unicodedata.normalize("NFC", out)
+        marks = re.escape("".join(map(chr, (c for c in range(0x300, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000 and unicodedata.combining(chr(c))))))
+        keys = re.escape("".join(k for k in mapping if len(k) == 1))
+        self.marked = re.compile(f"[{marks}{unseen}]").search
+        self.step = re.compile(f"[^{marks}{unseen}](?:[{unseen}]*[{marks}])+|[{keys}]").sub
+        self.unmarked_step = re.compile(f"[{keys}]").sub  # the same automaton where no character is more than a cluster of its own
 
     def __call__(self, text: str) -> str:
         if text.isascii() and "\t" not in text:
             return text
-        return self.cluster.sub(self._compose, text).translate(self.singles)
+        forms = self.forms
+        return (self.step if self.marked(text) else self.unmarked_step)(lambda m: forms[m[0]], text)
 
 
 @lru_cache(maxsize=1)
@@ -133,17 +144,47 @@ def visual_form(text: Column) -> Column:
     return form(text)
 
 
+def _hashed(rows: DataFrame) -> DataFrame:
+    """table_name, key, form, raw: hashes of the form and of the characters of each visible text, kept once."""
+
+    @F.pandas_udf("struct<form binary, raw binary>")
+    def hashes(texts: pd.Series) -> pd.DataFrame:
+        run, out = transducer(), []
+        for t in texts:
+            form = run(t) if t else ""
+            digest = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass")).digest()
+            out.append((digest(form), digest(t)) if form.strip(" ") else (None, None))
+        return pd.DataFrame(out, columns=["form", "raw"], dtype="object")
+
+    seen = rows.where("text is not null and key is not null").select("table_name", "key", hashes(F.col("text")).alias("h"))
+    return durable(seen.select("table_name", "key", "h.form", "h.raw").where("form is not null").distinct())
+
+
+def look_alike_classes(rows: DataFrame) -> DataFrame:
+    """table_name, key, class_id, n_texts, n_keys: one row a key and class of texts that look the same.
+
+    ``rows``: table_name, key, text. ``class_id`` is a hash of the visual form, ``n_texts`` counts the different texts of the
+    class and ``n_keys`` its distinct keys by text. Null keys, null texts and texts of nothing visible are left out; repeated
+    rows count once; other columns are ignored; an empty table gives no rows.
+    """
+    hashed = _hashed(rows)
+    by_text = hashed.groupBy("table_name", "form", "raw").agg(F.count("*").alias("n"))
+    classes = by_text.groupBy("table_name", "form").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_keys"))
+    return hashed.select("table_name", "key", "form").distinct().join(classes, ["table_name", "form"]).select("table_name", "key", F.lower(F.hex("form")).alias("class_id"), "n_texts", "n_keys")
+
+
 def look_alike_pairs(rows: DataFrame) -> DataFrame:
     """table_name, key_a, key_b (key_a < key_b) of texts of one table that differ in characters but look the same.
 
     ``rows``: table_name, key, text. Null keys, null texts and texts of nothing visible are never paired; equal texts are no pair;
-    repeated rows count once; an empty table gives no rows. Only hashes are shuffled, and only keys of forms with at
-    least two different texts are joined, however often one text is repeated.
+    repeated rows count once; other columns are ignored; an empty table gives no rows. Only hashes are shuffled. Different
+    texts of one form are paired first, and the pairs of texts then widened to the keys of each side, so that no two
+    keys of equal texts ever meet, however often a text is repeated.
     """
-    seen = rows.where("text is not null and key is not null").withColumn("form", visual_form(F.col("text"))).where(F.trim("form") != "")
-    hashed = seen.select("table_name", F.col("key"), F.md5(F.col("form").cast("binary")).alias("form"), F.md5(F.col("text").cast("binary")).alias("raw")).distinct()
-    mixed = hashed.groupBy("table_name", "form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("table_name", "form")
-    some = hashed.join(mixed, ["table_name", "form"], "left_semi")
-    a = some.select("table_name", "form", F.col("key").alias("key_a"), F.col("raw").alias("raw_a"))
-    b = some.select("table_name", "form", F.col("key").alias("key_b"), F.col("raw").alias("raw_b"))
-    return a.join(b, ["table_name", "form"]).where("key_a < key_b and raw_a <> raw_b").select("table_name", "key_a", "key_b").distinct()
+    hashed = _hashed(rows)
+    texts = hashed.select("table_name", "form", "raw").distinct()
+    a, b = texts.withColumnRenamed("raw", "raw_a"), texts.withColumnRenamed("raw", "raw_b")
+    pairs = a.join(b, ["table_name", "form"]).where("raw_a <> raw_b")
+    left = hashed.select("table_name", "form", F.col("raw").alias("raw_a"), F.col("key").alias("key_a"))
+    right = hashed.select("table_name", "form", F.col("raw").alias("raw_b"), F.col("key").alias("key_b"))
+    return pairs.join(left, ["table_name", "form", "raw_a"]).join(right, ["table_name", "form", "raw_b"]).where("key_a < key_b").select("table_name", "key_a", "key_b").distinct()
