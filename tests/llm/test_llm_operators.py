@@ -396,6 +396,34 @@ def test_broken_pairs_by_neighbours(spark):
     assert bp.broken_pairs(df.limit(0)).count() == 0
 
 
+def test_an_unknown_end_is_sound_unless_words_tell(spark):
+    r = random.Random(31)
+    ends = ["可以减少病害", "有利于恢复地力", "应当留意水温", "需要补充氮肥", "会影响产量"]
+    rows = [("t", i, "轮作有什么用？", f"{r.choice(['玉米', '小麦', '大豆', '油菜'])}{r.choice(['轮作', '间作', '套种'])}{r.choice(ends)}。农户的收入{r.choice(['上升', '稳定'])}。We keep the field of the village fallow.") for i in range(200)]
+    asked = [
+        ("t", 1000, "轮作有什么用？", "轮作可以减少病害。同时也能改善墒情"),  # a full sentence that no other answer holds
+        ("t", 1001, "轮作有什么用？", "轮作可以减少病害。同时也能改善墒情的"),
+        ("t", 1002, "What for?", "It rests the soil. Neighbours then reuse plots of the"),
+        ("t", 1003, "What for?", "It rests the soil. Neighbours then like that vil"),
+        ("t", 1004, "What for?", "It rests the soil. Neighbours then like that canal"),
+    ]
+    # 的 and the are used often and end nothing
+    df = spark.createDataFrame(rows + asked, "table_name string, row_key long, question string, answer string")
+    assert sorted(x.row_key for x in bp.broken_pairs(df).collect()) == [1001, 1002, 1003]
+
+
+def test_shortened_versions_over_many_ranges(spark):
+    r = random.Random(41)
+    word = lambda: "".join(r.choice("ab") for _ in range(r.randrange(1, 9)))
+    known, last = sorted({word() for _ in range(60)}), sorted({word() for _ in range(60)})
+    k = spark.createDataFrame([(w, 1, 0) for w in known], "text string, stops long, goes_on long").repartition(7)
+    got = bp.shortened_versions(k, spark.createDataFrame([(w,) for w in last], "text string")).collect()
+    # the next known text in order decides; a known text itself is followed by the one after it
+    want = {w: (int(w in known), next((x for x in known if x > w), "").startswith(w)) for w in last}
+    assert {x.text: (x.stops, x.shortened) for x in got if x.text not in known} == {w: v for w, v in want.items() if w not in known}
+    assert len(got) == len(last) and bp.shortened_versions(k, k.limit(0).select("text")).count() == 0
+
+
 def test_length_limits_do_not_depend_on_the_size_of_a_table(spark):
     r = random.Random(5)
     word = lambda n: "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(n))

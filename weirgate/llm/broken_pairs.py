@@ -3,7 +3,8 @@
 The first four follow from the pair itself. Whether an answer without a final stop is cut off is told by the corpus:
 its last clause is sorted among all clauses of all answers, numbers masked, and compared with its neighbours. If it is a
 shortened version of others, and not known as an end, it is cut; if others end like it, it is whole. Where neighbours
-tell nothing, answers at a length where unfinished answers pile up (a length limit) are taken as cut.
+tell nothing, its last word is sorted among all words: a shortened word, or one that hardly ever ends a sentence, is cut.
+Answers at a length where unfinished answers pile up (a length limit) are taken as cut as well; all others are sound.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ TERM, ENDINGS = 8, (8, 4)
 #: A length is a limit where unfinished answers end in at least so many different clauses, and are so many times those of
 #: the lengths around it. Neither depends on how often the same rows stand in a table.
 SPIKE_CLAUSES, SPIKE_TIMES = 5, 8
+#: A word tells an end from a cut from so many uses on; it ends no sentence if it stands at the end of fewer than one in so many.
+USES, ONE_IN = 20, 100
 
 #: Labels before an answer, placeholders for none, labels before a copied question.
 _LABEL = re.compile(r"^\W*(?:答案|答|回答|解答|答复|输出|answer|the answer is|response|output|a|reply)\s*(?:是|为|is)?\s*[:：]\s*", re.I)
@@ -240,25 +243,71 @@ def pair_rules(question: str | None, answer: str | None) -> tuple[str | None, st
     return None, rest, not known
 
 
-def _sorted_neighbours(batches):
-    """Rows by clause in order; for each last clause, how often it is known and whether the next known clause goes on from it.
+_LATIN_WORD = re.compile(r"[^\W\d_]+$")
 
-    Last clauses wait for the next known one only while each is the beginning of the next row, so few ever wait.
+
+def last_words(clause: str) -> list[str]:
+    """What a clause ends with, the most telling first: the last word, or the last two characters and the last one in Chinese."""
+    end = clause.rstrip("0123456789 .%\"'”’)）")
+    if not end:
+        return []
+    if "\u3040" <= end[-1] <= "\u9fff":
+        return [end[-2:], end[-1]] if len(end) > 1 else [end]
+    m = _LATIN_WORD.search(end)
+    return [m[0].lower()] if m else []
+
+
+_WORDS_OF = re.compile("[\u3040-\u9fff]|[^\\W\\d_\u3040-\u9fff]+")
+
+
+def words_of(clause: str) -> list[str]:
+    """All words of a clause as ``last_words`` takes them: Latin words, Chinese characters, and pairs of neighbours."""
+    units = _WORDS_OF.findall(clause.lower())
+    return units + [a + b for a, b in zip(units, units[1:]) if "\u3040" <= a <= "\u9fff" and "\u3040" <= b <= "\u9fff"]
+
+
+def _neighbours(batches):
+    """Rows by text in order; for each last one, how often it is known and whether the next known text goes on from it.
+
+    Last ones wait for the next known text only while each is the beginning of the next row, so few ever wait. Those that
+    still wait at the end of a partition are marked ``open``; a row of kind ``first`` gives the first known text of it.
     """
-    columns = ["clause", "stops", "goes_on", "shortened"]
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    columns = ["text", "stops", "goes_on", "shortened", "kind", "part"]
     waiting: list[tuple[str, int, int]] = []
+    first = None
     for pdf in batches:
         out = []
-        for clause, stops, goes, last in zip(pdf["clause"], pdf["stops"], pdf["goes_on"], pdf["is_last"]):
-            out += [(*w, False) for w in waiting if not clause.startswith(w[0])]
-            waiting = [w for w in waiting if clause.startswith(w[0])]
+        for text, stops, goes, last in zip(pdf["text"], pdf["stops"], pdf["goes_on"], pdf["is_last"]):
+            out += [(*w, False, "told", part) for w in waiting if not text.startswith(w[0])]
+            waiting = [w for w in waiting if text.startswith(w[0])]
             if stops + goes:
-                out += [(*w, True) for w in waiting]
+                first = text if first is None else first
+                out += [(*w, True, "told", part) for w in waiting]
                 waiting = []
             if last:
-                waiting.append((clause, stops, goes))
+                waiting.append((text, stops, goes))
         yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame([(*w, False) for w in waiting], columns=columns)
+    yield pd.DataFrame([(*w, False, "open", part) for w in waiting] + [(first, 0, 0, False, "first", part)], columns=columns)
+
+
+def shortened_versions(known: DataFrame, last: DataFrame) -> DataFrame:
+    """text, stops, goes_on, shortened for each text of ``last``, sorted among those of ``known`` (text, stops, goes_on).
+
+    Distinct texts are sorted by their whole length in ranges of equal size, so no beginning is too frequent for a task. What
+    waits at the end of a range is compared with the first known text of the ranges after it: a row for each range.
+    """
+    both = known.withColumn("is_last", F.lit(False)).unionByName(last.select("text", F.lit(0).cast("long").alias("stops"), F.lit(0).cast("long").alias("goes_on"), F.lit(True).alias("is_last")))
+    both = both.groupBy("text").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on"), F.max("is_last").alias("is_last"))
+    ordered = both.repartitionByRange("text").sortWithinPartitions("text")
+    told = durable(ordered.mapInPandas(_neighbours, "text string, stops long, goes_on long, shortened boolean, kind string, part int"))
+    after = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)  # a row a partition
+    firsts = told.where("kind = 'first'").select("part", F.first("text", ignorenulls=True).over(after).alias("next"))
+    opened = told.where("kind = 'open'").join(F.broadcast(firsts), "part").withColumn("shortened", F.coalesce(F.startswith("next", F.col("text")), F.lit(False)))
+    columns = ["text", "stops", "goes_on", "shortened"]
+    return told.where("kind = 'told'").select(*columns).unionByName(opened.select(*columns))
 
 
 def broken_pairs(pairs: DataFrame) -> DataFrame:
@@ -266,8 +315,8 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
 
     ``pairs``: table_name, row_key, question, answer. A null answer is ``empty``; a null question alone is no defect, its
     answer is still judged by itself; rows without a key are left out. Rows delivered again count once; equal answers are judged alike; an empty table
-    gives no rows; other columns are ignored. Clauses are counted before they are shuffled, distinct clauses are sorted
-    in ranges of their first characters, and no group is held in one task's memory.
+    gives no rows; other columns are ignored. Clauses and words are counted before they are shuffled, distinct ones are sorted
+    in ranges of equal size, and no group is held in one task's memory.
     """
     pairs = pairs.where("row_key is not null")
     kinds = "table_name string, row_key long, defect string, rest string, alone boolean, size int"
@@ -292,16 +341,41 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     counted = durable(counted.groupBy("clause").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on")))  # used by the sort and both lengths of endings
     open_ends = judged.where("defect is null and rest is not null").select("table_name", "row_key", "rest", "alone", "size")
 
-    known = counted.withColumn("is_last", F.lit(False))
-    last = open_ends.select(F.col("rest").alias("clause")).distinct().select("clause", F.lit(0).cast("long").alias("stops"), F.lit(0).cast("long").alias("goes_on"), F.lit(True).alias("is_last"))
-    both = known.unionByName(last).groupBy("clause").agg(F.sum("stops").alias("stops"), F.sum("goes_on").alias("goes_on"), F.max("is_last").alias("is_last"))
-    ordered = both.withColumn("start", F.substring("clause", 1, 2)).repartitionByRange("start").sortWithinPartitions("start", "clause").drop("start")
-    neighbours = ordered.mapInPandas(_sorted_neighbours, "clause string, stops long, goes_on long, shortened boolean")
-    told = neighbours
+    told = shortened_versions(counted.withColumnRenamed("clause", "text"), open_ends.select(F.col("rest").alias("text")).distinct()).withColumnRenamed("text", "clause")
     for n in ENDINGS:
         ends = counted.groupBy(F.right("clause", F.lit(n)).alias("ending")).agg(F.sum("stops").alias(f"stops_{n}"), F.sum("goes_on").alias(f"goes_on_{n}"))
         told = told.withColumn("ending", F.right("clause", F.lit(n))).join(ends, "ending", "left").drop("ending")
 
+    def count_words(batches):
+        for pdf in batches:
+            uses, ends = Counter(), Counter()
+            for clause, stops, goes in zip(pdf["clause"], pdf["stops"], pdf["goes_on"]):
+                for w in words_of(clause):
+                    uses[w] += stops + goes
+                for w in last_words(clause):
+                    ends[w] += stops
+            yield pd.DataFrame({"text": list(uses), "stops": [ends[w] for w in uses], "goes_on": [uses[w] - ends[w] for w in uses]}).astype({"text": "object", "stops": "int64", "goes_on": "int64"})
+
+    @F.pandas_udf("array<string>")
+    def ending(rests: pd.Series) -> pd.Series:
+        return pd.Series([last_words(r) for r in rests], dtype="object")
+
+    told = told.withColumn("ends", ending("clause"))
+    words = counted.mapInPandas(count_words, "text string, stops long, goes_on long").groupBy("text").agg(F.sum("stops").alias("stops"), F.greatest(F.sum("goes_on"), F.lit(0)).alias("goes_on"))
+    asked = told.select(F.explode("ends").alias("text")).distinct()
+    of_words = shortened_versions(words, asked)
+    for k in (0, 1):
+        of = of_words.select(F.col("text").alias(f"word_{k}"), F.col("stops").alias(f"word_stops_{k}"), (F.col("stops") + F.col("goes_on")).alias(f"word_uses_{k}"), F.col("shortened").alias(f"word_cut_{k}"))
+        told = told.withColumn(f"word_{k}", F.get("ends", F.lit(k))).join(of, f"word_{k}", "left")
+    # answers of how many lengths break off at a word; with complete clauses before it only, as bare terms are whole
+    stuck = open_ends.where("not alone").select("rest", "size").distinct().join(told.select(F.col("clause").alias("rest"), "word_0"), "rest").groupBy("word_0").agg(F.countDistinct("size").alias("stuck"))
+    told = told.join(stuck, "word_0", "left")
+    # the longer word decides if it is used often enough; a word that is never used but begins others is cut off, and so is
+    # one that many answers end with and no complete clause ever uses
+    seldom = lambda k: F.col(f"word_stops_{k}") * ONE_IN < F.col(f"word_uses_{k}")
+    used = lambda k: F.coalesce(F.col(f"word_uses_{k}") >= USES, F.lit(False))
+    told = told.withColumn("no_end", F.when((F.col("word_uses_0") == 0) & F.col("word_cut_0") & (F.size("ends") == 1), F.lit(True)).when((F.coalesce("word_uses_0", F.lit(0)) == 0) & (F.col("stuck") >= SPIKE_CLAUSES), F.lit(True)).when(used(0), seldom(0)).when(used(1), seldom(1)).otherwise(F.lit(False)))
+
     sizes = open_ends.groupBy("size").agg(F.count("*").alias("n"), F.countDistinct("rest").alias("different"))  # one row per length
     around = Window.orderBy("size").rangeBetween(-10, 10)
     limits = sizes.withColumn("near", (F.sum("n").over(around) - F.col("n")) / 20).where((F.col("different") >= SPIKE_CLAUSES) & (F.col("n") >= SPIKE_TIMES * F.col("near"))).select("size", F.lit(True).alias("at_limit"))
@@ -314,8 +388,7 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
         .when((F.col("stops") > 0) & (F.col("stops") * 10 >= F.col("goes_on")), F.lit(False))
         .when(F.col("shortened") | (F.col("goes_on") > 0), F.lit(True))
         .when(F.greatest(*like), F.lit(False))
-        .when(F.col("at_limit"), F.lit(True))
-        .otherwise(~F.col("alone"))
+        .otherwise(F.coalesce(F.col("at_limit"), F.lit(False)) | F.coalesce(F.col("no_end"), F.lit(False)))
     )
     by_corpus = open_ends.join(told, open_ends["rest"] == told["clause"], "left").join(F.broadcast(limits), "size", "left").where(cut).select("table_name", "row_key", F.lit("truncated").alias("defect"))
     return judged.where("defect is not null").select("table_name", "row_key", "defect").unionByName(by_corpus).distinct()
