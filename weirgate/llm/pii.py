@@ -24,6 +24,10 @@ LABELS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
 WINDOW, STRIDE, BATCH, MEMO = 96, 64, 2048, 400_000
 WEIGHTS = Path(__file__).with_name("pii_model.npz")
 
+#: Chinese family names of one and of two characters.
+FAMILY = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄和穆萧尹姚邵湛汪祁毛禹狄米贝明臧计伏成戴谈宋茅庞熊纪舒屈项祝董梁杜阮蓝闵席季麻强贾路娄危江童颜郭梅盛林刁钟徐邱骆高夏蔡田樊胡凌霍虞万支柯昝管卢莫经房裘缪干解应宗丁宣邓郁单杭洪包诸左石崔吉龚程邢裴陆荣翁荀羊甄曲封储靳段富巫乌焦巴弓牧山谷车侯全班仰秋仲伊宫宁仇栾暴甘厉戎祖武符刘景詹束龙叶幸司韶黎薄印白怀蒲台从鄂索咸籍赖卓蔺屠蒙池乔阴胥苍双闻莘党翟谭贡劳姬申扶堵冉宰郦雍桑桂牛寿通边扈燕冀浦尚农温别庄晏柴瞿阎充慕连茹习艾鱼容向古易慎戈廖庾终居衡步都耿满弘匡国文寇广东欧沃利师巩聂关荆肖"
+COMPOUND = "欧阳 慕容 令狐 端木 司徒 上官 诸葛 司马 夏侯 东方 皇甫 尉迟 公孙 宇文 长孙 轩辕 钟离 鲜于 闾丘 申屠 太史 澹台 公冶 濮阳 淳于 单于".split()
+
 _END = re.compile(r"[^\n。！？，；]*(?:[。！？，；]+|\n+|$)")
 
 
@@ -161,6 +165,10 @@ def _joined(labels: np.ndarray) -> list[tuple[int, int, str]]:
 _HAN_DIGITS = str.maketrans("零〇一二三四五六七八九", "00123456789")
 
 
+#: Capitalised words that stand in no name.
+_NO_FIRST = set("The A An If In On At This That These Those It No Not Yes True False What Which Who How Why When Where Dear My Our Your His Her Their For From And Or But So As To Of By With Please".split())
+
+
 def sound(span: str, kind: str, before: str = "", after: str = "") -> bool:
     """Whether a span has the form of its type."""
     s = unicodedata.normalize("NFKC", span)
@@ -175,10 +183,17 @@ def sound(span: str, kind: str, before: str = "", after: str = "") -> bool:
         bare = re.sub(r"[\s\-]", "", s).upper()
         if m := re.fullmatch(r"\d{6}(\d{4})(\d\d)(\d\d)\d{3}[\dX]", bare) or re.fullmatch(r"\d{6}(\d\d)(\d\d)(\d\d)\d{3}", bare):
             return 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 31 and (len(m[1]) == 2 or 1880 <= int(m[1]) <= 2035)
-        return bool(re.fullmatch(r"[A-Z]{1,2}\d{7,8}", bare))
+        return bool(re.fullmatch(r"[A-Z]{1,2}\d{7,8}", bare) or re.fullmatch(r"\d{3}-\d\d-\d{4}", s.strip()))
     if kind == "street_address":
-        return len(s) >= 4 and bool(re.search(r"[\d一二三四五六七八九十百零]+\s*(?:号|弄|组|栋|室)|\d+\w?[,\s]+(?:[A-Za-z]+\s)*[A-Z]\w+", s))
-    return bool(re.fullmatch(r"[一-龥·]{2,8}|[A-Z][A-Za-z'’\-]*\.?(?:\s+[A-Z][A-Za-z'’\-]*\.?){1,3}", s.strip()))
+        return 4 <= len(s) <= 80 and bool(re.search(r"[\d一二三四五六七八九十百零]+\s*(?:号|弄|组|栋|室|单元)|\d+\w?[,\s]+(?:[A-Z][A-Za-z'’]*\.?\s)+[A-Z]\w+", s))
+    # options of a question and parts of addresses are no persons
+    if re.search(r"(?:^|\n)\s?[A-FＡ-Ｆ][.．、:：)）]\s*$", before) or re.search(r"\b(?:Street|Road|Avenue|Lane|Drive|Court)\b", s):
+        return False
+    if "一" <= s[:1] <= "龥" and "·" not in s and s[0] not in FAMILY and s[:2] not in COMPOUND:
+        return False
+    if s[:1].isascii() and (re.search(r"[A-Za-z]$", before) or re.match(r"[A-Za-z]", after) or not _NO_FIRST.isdisjoint(s.replace(".", "").split())):
+        return False
+    return bool(re.fullmatch(r"[一-龥]{2,4}|[一-龥]+(?:·[一-龥]+)+|(?:[A-Z]\.|[A-Z][A-Za-z'’\-]*)(?:\s+(?:[A-Z]\.|[A-Z][A-Za-z'’\-]*)){1,3}", s.strip()))
 
 
 @lru_cache(maxsize=1)
