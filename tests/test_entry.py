@@ -22,6 +22,16 @@ def test_import_without_llm(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
 
 
+def test_other_missing_modules_are_no_silent_loss(monkeypatch):
+    pytest.importorskip("weirgate.llm")
+    monkeypatch.setitem(sys.modules, "weirgate.llm.catalog", None)
+    monkeypatch.delattr("weirgate.llm.catalog", raising=False)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    with pytest.raises(ImportError):
+        importlib.import_module("__spark_entry__")
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+
+
 def _fixture(folder, spark):
     spark.range(40).selectExpr("id o_orderkey", "id % 7 o_custkey", "'F' o_orderstatus").coalesce(1).write.parquet(f"{folder}/orders.parquet")
     spark.range(7).selectExpr("id c_custkey", "cast(id as int) c_nationkey", "'S' || id c_mktsegment").coalesce(1).write.parquet(f"{folder}/customer.parquet")
@@ -30,7 +40,7 @@ def _fixture(folder, spark):
     spark.range(30).selectExpr("id p_partkey", "cast(id as int) p_size").coalesce(1).write.parquet(f"{folder}/part.parquet")
 
 
-NAMES = ["number_arabic", "clinic_pairs_explode", "deid_anchored", "deid_names", "term_expand", "unit_canonical", "lab_check", "section_split", "qc_sections", "qc_patterns", "marks_normalize", "doc_type_detect", "citation_extract", "clause_hierarchy", "legal_parts", "gen_medical", "gen_legal", "expected_vs_actual", "lookup_left_join"]
+NAMES = ["number_arabic", "clinic_pairs_explode", "deid_anchored", "deid_names", "deid_legal", "deid_brackets", "qc_legal_types", "term_expand", "unit_canonical", "lab_check", "section_split", "qc_sections", "qc_patterns", "marks_normalize", "doc_type_detect", "citation_extract", "clause_hierarchy", "legal_parts", "gen_medical", "gen_legal", "expected_vs_actual", "lookup_left_join"]
 
 
 def test_queries_against_sql(spark, tmp_path):

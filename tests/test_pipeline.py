@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from weirgate.functions.text import arabic_number, clean_text, java_pattern, norm_text
 from weirgate.operators.dedup import dedupe
-from weirgate.operators.deid import hide_names
-from weirgate.operators.generators import articles_answer, contract_answer, judgment_answer, medical_answer
+from weirgate.operators.deid import hide_legal, hide_names
+from weirgate.operators.generators import generate
 from weirgate.operators.normalize import normalize, work_items
-from weirgate.operators.stages import clause_tree, split_sections
+from weirgate.operators.stages import clause_tree, clause_trees, split_sections, terminology
 from weirgate.operators.verdict import alpaca, compare_expected, spread_sample
 from weirgate.plans.pipeline import curate, domain_slug, find_preset, run_pipeline
 from weirgate.sources.readers import pasted, read_files
@@ -87,10 +87,12 @@ def test_text_utilities(spark):
     assert java_pattern(r"(?<!\w)[\d.]+\s") == r"(?<![\p{L}\p{N}_])[\p{Nd}.]+" + java_pattern(r"\s")
 
 
-def test_sections_tree_and_names():
+def test_sections_tree_and_names(spark):
     assert [n for n, _ in split_sections(CASE)] == ["主诉", "现病史", "诊断"]
     assert split_sections("患者主诉:胸闷") == []
-    tree = clause_tree("引言\n第一章 总则\n第一条 甲\n续\n（一）乙\n第二条 丙")
+    text = "引言\n第一章 总则\n第一条 甲\n续\n（一）乙\n第二条 丙"
+    tree = spark.createDataFrame([(text,), (None,)], "t string").select(clause_trees("t").alias("n")).first().n
+    assert [n["text"] for n in clause_tree(text)] == [n["text"] for n in tree]
     assert [(n["kind"], n["no"], n["parent_id"]) for n in tree] == [("章", "1", 0), ("条", "1", 1), ("项", "1", 2), ("条", "2", 1)]
     assert tree[1]["text"] == "第一条 甲\n续"
     assert hide_names("患者张三，男") == ("患者[姓名]，男", True, [])
@@ -98,11 +100,29 @@ def test_sections_tree_and_names():
     assert hide_names("李四。这里没有线索的一句话")[2] == ["李四"]
 
 
-def test_generators():
-    assert medical_answer(CASE).startswith("主诉：胸闷3天。\n现病史：") and medical_answer("【主诉】a\n【现病史】b") is None
-    assert "案号：（2021）京01号" in judgment_answer("人民法院 判决书\n（2021）京01号\n原告：张三\n本院认为应当支持\n判决如下：一、支持")
-    assert contract_answer("甲方：某公司\n乙方：另公司\n租金每月一千元。\n第一条 交付").count("\n") == 3
-    assert articles_answer("第一条 甲\n第二条 乙") == "第1条要点：甲\n第2条要点：乙"
+def test_generators(spark):
+    answers = lambda domain, *texts: {r.key: r.output for r in generate(spark.createDataFrame(list(enumerate(texts)), "key int, text string"), domain).collect()}
+    medical = answers("medical", CASE, "【主诉】a\n【现病史】b", None, "", "【主诉】a\n【诊断】b\n【主诉】c")
+    assert medical == {0: "主诉：胸闷3天。\n现病史：患者有高血压，服药 100毫克 每日。\n诊断：高血压", 4: "主诉：c\n诊断：b"}
+    judgment = "人民法院 判决书\n（2021）京01号\n原告：张三\n本院认为应当支持" + "续" * 300 + "\n判决如下：一、支持" + "判" * 200
+    contract = "甲方：某公司\n乙方：另公司\n租金每月一千元。\n" + "\n".join(f"第{k}条 交付" + "货" * 60 for k in "一二三四五六")
+    legal = answers("legal", judgment, contract, "第一条 甲\n第二条 乙", "人民法院 判决书 判决如下", "普通文字")
+    assert legal[0].split("\n") == ["文书类型：判决书", "案号：（2021）京01号", "当事人：原告张三", "本院认为：" + ("本院认为应当支持" + "续" * 300)[:200], "判决：" + ("判决如下：一、支持" + "判" * 200)[:120]]
+    assert legal[1].split("\n") == ["甲方：某公司", "乙方：另公司", "标的/价款：租金每月一千元", "关键条款：" + "；".join((f"第{k}条 交付" + "货" * 60)[:40] for k in "一二三四五")]
+    assert legal[2] == "第1条要点：甲\n第2条要点：乙" and legal[3] == "文书类型：判决书\n判决：判决如下" and 4 not in legal
+
+
+def test_terms_are_corrected_one_after_the_other(spark):
+    df = spark.createDataFrame([(1, [("user", "高血圧患者"), ("assistant", "血圧与高血圧")], [])], "record_id long, messages array<struct<role:string,content:string>>, issues array<struct<stage:string,code:string,level:string,message:string>>")
+    got = terminology(df, "medical").first()
+    assert [m.content for m in got.messages] == ["高血压患者", "血压与高血压"]
+    assert [i.message for i in got.issues] == ["错字：高血圧→高血压", "错字：高血圧→高血压", "错字：血圧→血压"]
+
+
+def test_legal_groups_leave_protected_spans(spark):
+    assert hide_legal("（2021）京01民初13812345678号") == ("（2021）京01民初13812345678号", [0, 0, 0, 0, 0])
+    text, found = hide_legal("原告王小明，电话13812345678，住址：朝阳路12号，被告人民法院")
+    assert text == "原告王小明，电话[手机号]，住址：朝阳路12号，被告人民法院" and found == [0, 1, 0, 1, 1]
 
 
 def test_pipeline(spark, tmp_path):

@@ -74,9 +74,3 @@ def streaming_distinct(stream: DataFrame, time: str, late: str) -> DataFrame:
     """Exact duplicates dropped from a stream while its watermark holds their first row."""
     hashed = stream.withColumn("norm_hash", F.sha1(norm_text(F.coalesce("text", F.lit(""))).cast("binary")))
     return hashed.withWatermark(time, late).dropDuplicatesWithinWatermark(["norm_hash"])
-
-
-def first_per_text(rows: DataFrame) -> DataFrame:
-    """The first row of each normalised text, by id."""
-    window = Window.partitionBy(F.sha1(norm_text(F.coalesce("text", F.lit(""))).cast("binary"))).orderBy("id")
-    return rows.withColumn("_n", F.row_number().over(window)).where("_n = 1").drop("_n")

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirgate.functions import tables as R
-from weirgate.functions.text import java_pattern, java_replacement, strip
+from weirgate.functions.text import arabic_number, java_pattern, java_replacement, strip
 from weirgate.schema import all_text, contents, count_matches, issue, issue_if, map_contents, with_issues
 
-_ALIASES = sorted(((a, name) for name, many in R.SECTIONS.items() for a in many.split("|")), key=lambda x: -len(x[0]))
+_ALIASES = sorted(((a, name) for name, many in R.SECTIONS.items() for a in many), key=lambda x: -len(x[0]))
 _HEADER = re.compile(rf"(?<![A-Za-z0-9一-龥])[【\[（(]?\s*({'|'.join(re.escape(a) for a, _ in _ALIASES)})(?:[】\]）)\s:：])+", re.I)
 _CANON = {a.lower(): name for a, name in reversed(_ALIASES)}
 _ORDER = [n for n in R.SECTIONS if n not in R.UNORDERED_SECTIONS]
@@ -68,10 +68,11 @@ def expand(text: Column, words: dict[str, str], edge: str) -> Column:
 
 def terminology(df: DataFrame, domain: str) -> DataFrame:
     """Typing errors, abbreviations, and how often a dose is taken."""
-    typos = {"medical": R.MEDICAL_TYPOS, "legal": R.LEGAL_TYPOS}.get(domain, {})
-    found = [issue_if(F.contains(all_text(), F.lit(a)), issue("terminology", "term.typo", "cleaned", f"错字：{a}→{b}")) for a, b in typos.items()]
-    if typos:
-        df = map_contents(with_issues(df, *found), lambda t: reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), typos.items(), t))
+    # each error is sought in what the ones before have left: a corrected word is no error any more
+    for wrong, right in {"medical": R.MEDICAL_TYPOS, "legal": R.LEGAL_TYPOS}.get(domain, {}).items():
+        holds, said = F.lit(wrong), issue("terminology", "term.typo", "cleaned", f"错字：{wrong}→{right}")
+        df = with_issues(df, F.transform(F.filter(contents(), lambda t: F.contains(t, holds)), lambda _: said))  # noqa: B023
+        df = map_contents(df, lambda t: F.replace(t, holds, F.lit(right)))  # noqa: B023
     if domain != "medical":
         return df
     for words, edge, code, label in ((R.ABBREVIATIONS, "A-Za-z", "term.abbrev", "缩写展开"), (R.FREQUENCIES, "A-Za-z0-9", "term.latin", "频次换算")):
@@ -82,13 +83,21 @@ def terminology(df: DataFrame, domain: str) -> DataFrame:
     return df
 
 
+_UNIT_OF = {a: name for name, aliases in R.UNIT_ALIASES.items() for a in aliases if a != name}
+_ANY_UNIT = rf"(?<!\w)\d+(?:\.\d+)?\s*(?:{'|'.join(re.escape(a) for a in sorted(_UNIT_OF, key=len, reverse=True))})(?!\w)"
+
+
 def canonical_units(text: Column) -> Column:
-    """Aliases of units after a number brought to one name: one pattern a unit, its own name left out."""
-    for name, aliases in R.UNIT_ALIASES.items():
-        other = "|".join(re.escape(a) for a in sorted(aliases.split(), key=len, reverse=True) if a != name)
+    """Aliases of units after a number brought to one name.
+
+    One pattern tells whether a text holds any alias; only then is it rewritten, by one pattern a unit.
+    """
+    new = text
+    for name in R.UNIT_ALIASES:
+        other = "|".join(re.escape(a) for a in sorted(_UNIT_OF, key=len, reverse=True) if _UNIT_OF[a] == name)
         if other:
-            text = F.regexp_replace(text, java_pattern(rf"(?<!\w)(\d+(?:\.\d+)?\s*)(?:{other})(?!\w)"), f"$1{name}")
-    return text
+            new = F.regexp_replace(new, java_pattern(rf"(?<!\w)(\d+(?:\.\d+)?\s*)(?:{other})(?!\w)"), f"$1{name}")
+    return F.when(text.rlike(java_pattern(_ANY_UNIT)), new).otherwise(text)
 
 
 def _joined_sections(names: list[str]) -> Column:
@@ -98,7 +107,7 @@ def _joined_sections(names: list[str]) -> Column:
 
 def implausible_doses(text: Column) -> Column:
     """An issue for each number with a unit outside its range."""
-    units = sorted({a for many in R.UNIT_ALIASES.values() for a in many.split()} | set(R.COMPOSED_UNITS), key=lambda a: (-len(a), a))
+    units = sorted({a for many in R.UNIT_ALIASES.values() for a in many} | set(R.COMPOSED_UNITS), key=lambda a: (-len(a), a))
     pattern = rf"(\d+(?:\.\d+)?)\s*({'|'.join(map(re.escape, units))})"
     whole, value, unit = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (0, 1, 2))
     hits = F.arrays_zip(whole.alias("whole"), value.alias("value"), unit.alias("unit"))
@@ -166,23 +175,8 @@ def citations_of(texts: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(texts, lambda t: F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))))
 
 
-_PARTS = sorted(((a, n) for n, many in R.LEGAL_PARTS.items() for a in many.split()), key=lambda x: -len(x[0]))
-TREE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("node_id", "parent_id", "depth")] + [T.StructField(n, T.StringType()) for n in ("kind", "no", "raw", "text")]))
-
-
-def _arabic(s: str) -> str:
-    if s.isdigit():
-        return s
-    total = last = 0
-    for c in s:
-        d = "零一二三四五六七八九".find(c)
-        if d >= 0:
-            last = d
-        elif c in "十百千":
-            total, last = total + (last or 1) * {"十": 10, "百": 100, "千": 1000}[c], 0
-        else:
-            return s
-    return str(total + last)
+_PARTS = sorted(((a, n) for n, many in R.LEGAL_PARTS.items() for a in many), key=lambda x: -len(x[0]))
+TREE = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("node_id", "parent_id", "depth")] + [T.StructField(n, T.StringType()) for n in ("kind", "raw", "text")]))
 
 
 def clause_tree(text: str) -> list[dict]:
@@ -198,7 +192,7 @@ def clause_tree(text: str) -> list[dict]:
                 level = R.LEVELS[kind]
                 while path[-1][0] >= level:
                     path.pop()
-                nodes.append({"node_id": len(nodes) + 1, "parent_id": path[-1][1], "depth": len(path), "kind": kind, "no": _arabic(m[1]), "raw": m[1], "text": line})
+                nodes.append({"node_id": len(nodes) + 1, "parent_id": path[-1][1], "depth": len(path), "kind": kind, "raw": m[1], "text": line})
                 path.append((level, len(nodes)))
                 break
         else:
@@ -219,10 +213,15 @@ def parts_of(text: str) -> dict[str, list[str]]:
 
 
 @F.pandas_udf(TREE)
-def clause_trees(texts: pd.Series) -> pd.Series:
+def _trees(texts: pd.Series) -> pd.Series:
     return pd.Series([clause_tree(t) if t else [] for t in texts], dtype="object")
 
 
+def clause_trees(text: Column | str) -> Column:
+    """The clause tree of each text, with the number of each node in digits (``no``); none for null and empty texts."""
+    return F.transform(_trees(text), lambda n: F.struct(n["node_id"].alias("node_id"), n["parent_id"].alias("parent_id"), n["depth"].alias("depth"), n["kind"].alias("kind"), arabic_number(n["raw"]).alias("no"), n["raw"].alias("raw"), n["text"].alias("text")))
+
+
 @F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.StringType())))
 def legal_parts(texts: pd.Series) -> pd.Series:
     return pd.Series([parts_of(t) if t else {} for t in texts], dtype="object")
@@ -241,7 +240,7 @@ def _case_history_qc(df: DataFrame) -> DataFrame:
     missing = F.array_compact(F.array(*[F.when(~has(n), F.lit(n)) for n in R.REQUIRED_SECTIONS]))
     df = df.withColumn("missing_required", missing).withColumn("structure_score", reduce(lambda a, b: a + b, [F.when(has(n), w).otherwise(0) for n, w in R.SECTION_WEIGHTS.items()]))
     said = F.array_join(contents("assistant"), " ")
-    orphans = [issue_if(~has(n) & reduce(lambda a, b: a | b, [F.contains(said, F.lit(a)) for a in R.SECTIONS[n].split("|")]), issue("completeness_qc", "clinical.orphan_ref", "warning", f"回答引用了缺失的小节：{n}")) for n in _ORDER]
+    orphans = [issue_if(~has(n) & reduce(lambda a, b: a | b, [F.contains(said, F.lit(a)) for a in R.SECTIONS[n]]), issue("completeness_qc", "clinical.orphan_ref", "warning", f"回答引用了缺失的小节：{n}")) for n in _ORDER]
     elsewhere = [issue_if(has("诊断") & has("现病史") & F.contains(body("诊断"), F.lit(k)) & ~F.contains(body("现病史"), F.lit(k)), issue("completeness_qc", "qc.diag_not_in_hpi", "warning", f"诊断疾病未出现在现病史：{k}")) for k in R.DISEASES]
     short = [issue_if(has(n) & (F.length(strip(body(n))) < 2), issue("completeness_qc", "qc.section_too_short", "warning", f"必需小节内容过短：{n}")) for n in R.REQUIRED_SECTIONS]
     return with_issues(

@@ -135,10 +135,64 @@ def _normalized(rows: DataFrame, key: str, *cols: str, file: str = "t.jsonl") ->
     return items.select(F.col("place").alias(key), F.col("messages")[0]["content"].alias("question"), F.col("messages")[1]["content"].alias("answer"))
 
 
-@query(f"SELECT qa_id, any_value({_strip('question')}) AS question, any_value({_strip('answer')}) AS answer FROM fineval_qa_finance WHERE question IS NOT NULL AND answer IS NOT NULL GROUP BY qa_id")
+#: One row a key of the finance questions, nulls read as empty.
+_ASKED = f"(SELECT qa_id, any_value({_strip("coalesce(question, '')")}) AS q, any_value({_strip("coalesce(answer, '')")}) AS a FROM fineval_qa_finance GROUP BY qa_id)"
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    rows = one_per_key(table(spark, d, "fineval_qa_finance"), "qa_id", "question", "answer")
+    return rows.select("qa_id", F.coalesce("question", F.lit("")).alias("question"), F.coalesce("answer", F.lit("")).alias("answer"))
+
+
+@query(f"SELECT qa_id, q AS question, a AS answer FROM {_ASKED}")
 def generic_qa_normalize(spark: SparkSession, d: str) -> DataFrame:
-    rows = one_per_key(table(spark, d, "fineval_qa_finance").where("question is not null and answer is not null"), "qa_id", "question", "answer")
-    return _normalized(rows, "qa_id", "question", "answer")
+    return _normalized(_asked(spark, d), "qa_id", "question", "answer")
+
+
+@query(f"SELECT qa_id, {_strip("'" + R.LAW_SUMMARY + "' || chr(10) || chr(10) || q")} AS question, a AS answer FROM {_ASKED}")
+def law_summary_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _normalized(_asked(spark, d).withColumnsRenamed({"question": "article", "answer": "summary"}), "qa_id", "article", "summary")
+
+
+@query(f"SELECT qa_id, '（科室：科' || (qa_id % 5) || CASE WHEN qa_id % 3 = 0 THEN '' ELSE '；标题：题' || (qa_id % 7) END || '）' || chr(10) || q AS question, a AS answer FROM {_ASKED} WHERE q <> '' AND a <> ''")
+def csv_qa_normalize(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("qa_id")
+    rows = _asked(spark, d).withColumn("department", F.concat(F.lit("科"), (k % 5).cast("string"))).withColumn("title", F.when(k % 3 == 0, " ").otherwise(F.concat(F.lit("题"), (k % 7).cast("string"))))
+    return _normalized(rows.withColumnRenamed("question", "ask"), "qa_id", "department", "title", "ask", "answer", file="t.csv")
+
+
+@query(f"SELECT row_id, CASE WHEN i <> '' THEN a || chr(10) || chr(10) || i ELSE a END AS question, o AS answer FROM (SELECT row_id, any_value({_strip("coalesce(instruction, '')")}) a, any_value({_strip("coalesce(input, '')")}) i, any_value({_strip("coalesce(output, '')")}) o FROM mmlu_csv_alpaca GROUP BY row_id)")
+def alpaca_cn_normalize(spark: SparkSession, d: str) -> DataFrame:
+    rows = one_per_key(table(spark, d, "mmlu_csv_alpaca"), "row_id", "instruction", "input", "output")
+    return _normalized(rows.withColumnsRenamed({"instruction": "指令", "input": "输入", "output": "输出"}), "row_id", "指令", "输入", "输出")
+
+
+_TURNS = f"(SELECT record_id, i - 1 AS turn, m[i].role AS role, {_strip("coalesce(m[i].content, '')")} AS content FROM (SELECT record_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT record_id, any_value(messages) AS m FROM work_item GROUP BY record_id)))"
+
+
+def _item_turns(spark: SparkSession, d: str) -> DataFrame:
+    items = one_per_key(table(spark, d, "work_item"), "record_id", "messages")
+    return items.select("record_id", F.posexplode("messages").alias("turn", "m")).select("record_id", "turn", "m.role", F.coalesce("m.content", F.lit("")).alias("content"))
+
+
+@query(f"SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY turn) - 1 AS turn, role, content FROM {_TURNS} WHERE role IN ('user', 'assistant')")
+def sharegpt_normalize(spark: SparkSession, d: str) -> DataFrame:
+    """Half of the records as objects with ``messages``, half as bare lists."""
+    whole = normalize.dialogues(_item_turns(spark, d), "record_id", "turn")
+    raw = F.when(F.col("record_id") % 2 == 0, F.to_json(F.struct("messages"))).otherwise(F.to_json("messages"))
+    records = whole.select(F.lit(0).alias("file_no"), F.lit("t.jsonl").alias("file"), F.col("record_id").alias("place"), F.try_parse_json(raw).alias("raw"))
+    items, _ = normalize.normalize(records)
+    return items.select(F.col("place").alias("record_id"), F.posexplode("messages").alias("turn", "m")).select("record_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
+
+
+@query(f"SELECT record_id, row_number() OVER (PARTITION BY record_id ORDER BY turn) - 1 AS turn, role, content FROM {_TURNS} WHERE role IN ('user', 'assistant')")
+def long_csv_normalize(spark: SparkSession, d: str) -> DataFrame:
+    rows = _item_turns(spark, d)
+    raw = F.try_parse_json(F.to_json(F.struct(F.col("record_id").cast("string").alias("id"), "role", "content")))
+    records = rows.select(F.lit(0).alias("file_no"), F.lit("t.csv").alias("file"), (F.col("record_id") * 100_000 + F.col("turn")).alias("place"), raw.alias("raw"))
+    items, _ = normalize.normalize(records)
+    turns = items.select(F.floor(F.col("place") / 100_000).alias("record_id"), F.posexplode("messages").alias("turn", "m"))
+    return turns.select("record_id", F.col("turn").cast("long").alias("turn"), "m.role", "m.content")
 
 
 @query(f"""SELECT item_id, '题：' || {_strip('question')} || CASE WHEN options IS NULL OR len(o) = 0 THEN '' ELSE chr(10) || array_to_string(o, chr(10)) END AS question,
@@ -151,12 +205,11 @@ def exam_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT row_no, any_value(question) q, any_value(a) a, any_value(b) b, any_value(c) c, any_value(d) d, any_value(answer) ans FROM cmmlu_education GROUP BY row_no),
 s AS (SELECT row_no, {_strip('q')} q, {_strip('a')} a, {_strip('b')} b, {_strip('c')} c, {_strip('d')} d, {_strip('ans')} ans FROM t)
-SELECT row_no, concat_ws(chr(10), nullif(coalesce(q, ''), ''), nullif(concat_ws(chr(10), 'A. ' || nullif(a, ''), 'B. ' || nullif(b, ''), 'C. ' || nullif(c, ''), 'D. ' || nullif(d, '')), '')) AS question FROM s WHERE q IS NOT NULL""")
+SELECT row_no, concat_ws(chr(10), nullif(coalesce(q, ''), ''), nullif(concat_ws(chr(10), 'A. ' || nullif(a, ''), 'B. ' || nullif(b, ''), 'C. ' || nullif(c, ''), 'D. ' || nullif(d, '')), '')) AS question, '答案:' || coalesce(nullif(upper(ans), ''), '见解析') AS answer FROM s""")
 def mcq_normalize(spark: SparkSession, d: str) -> DataFrame:
-    exam = table(spark, d, "cmmlu_education")
-    rows = one_per_key(exam, "row_no", "question", "a", "b", "c", "d", "answer").where("question is not null")
-    rows = rows.select("row_no", "question", *[F.coalesce(c, F.lit("")).alias(c) for c in ("a", "b", "c", "d", "answer")])
-    return _normalized(rows, "row_no", "question", "a", "b", "c", "d", "answer", file="t.csv").select("row_no", "question")
+    names = ("question", "a", "b", "c", "d", "answer")
+    rows = one_per_key(table(spark, d, "cmmlu_education"), "row_no", *names)
+    return _normalized(rows.select("row_no", *[F.coalesce(c, F.lit("")).alias(c) for c in names]), "row_no", *names, file="t.csv")
 
 
 @query("SELECT l_orderkey, l_linenumber, '标题' || l_orderkey || chr(10) || 'q' || l_linenumber AS question, 's' || l_quantity::INT AS answer FROM lineitem WHERE l_quantity::INT % 7 <> 0")
@@ -199,6 +252,24 @@ def deid_bare_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", *[count_matches(text, java_pattern(p)).cast("long").alias(n) for (_, p, _, _), n in zip(R.BARE, ("id_cards", "phones", "emails"))])
 
 
+@query("""SELECT k AS c_custkey, '（2021）京01民初' || k || '号 原告王小明，电话[手机号]，立案（2021）沪' || (13800000000 + k) || '号，住址：朝阳路' || (k % 900) || '号' AS text, 'deid.phone,deid.party_name.annotate,deid.address.annotate' AS codes FROM (SELECT c_custkey AS k FROM customer)""")
+def deid_legal(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers inside case numbers stay, anchored names and addresses are noted only."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("（2021）京01民初"), k.cast("string"), F.lit("号 原告王小明，电话"), (F.lit(13800000000) + k).cast("string"), F.lit("，立案（2021）沪"), (F.lit(13800000000) + k).cast("string"), F.lit("号，住址：朝阳路"), (k % 900).cast("string"), F.lit("号"))
+    out = deid.deid(_items(table(spark, d, "customer"), "c_custkey", text, F.lit("好")), "legal")
+    return out.select(F.col("record_id").alias("c_custkey"), _user().alias("text"), _codes().alias("codes"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '（患者张伟，' || c_custkey || '岁）' ELSE '（注）患者[姓名]，' || c_custkey || '岁' END AS text FROM customer")
+def deid_brackets(spark: SparkSession, d: str) -> DataFrame:
+    """A name inside brackets stays."""
+    k = F.col("c_custkey").cast("string")
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("（患者张伟，"), k, F.lit("岁）"))).otherwise(F.concat(F.lit("（注）患者张伟，"), k, F.lit("岁")))
+    out = deid.deid(_items(table(spark, d, "customer"), "c_custkey", text, F.lit("好")), "medical")
+    return out.select(F.col("record_id").alias("c_custkey"), _user().alias("text"))
+
+
 @query("SELECT c_custkey, '病历号：[病历号]，医保卡号：[医保卡号]，余额' || c_nationkey AS text FROM customer")
 def deid_anchored(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("病历号 MR-"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit("，医保卡号:YB"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit("，余额"), F.col("c_nationkey").cast("string"))
@@ -219,8 +290,7 @@ def deid_names(spark: SparkSession, d: str) -> DataFrame:
 def term_expand(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("高血圧患者，HR "), F.col("p_size").cast("string"), F.lit("，bid po，DMX保留，T2DM"))
     out = stages.terminology(_items(table(spark, d, "part"), "p_partkey", text, F.lit("好")), "medical")
-    codes = F.array_join(F.array_distinct(F.transform(F.filter("issues", lambda i: i["message"] != "错字：血圧→血压"), lambda i: i["code"])), ",")
-    return out.select(F.col("record_id").alias("p_partkey"), _user().alias("text"), codes.alias("codes"))
+    return out.select(F.col("record_id").alias("p_partkey"), _user().alias("text"), _codes().alias("codes"))
 
 
 @query("SELECT l_orderkey, l_linenumber, '剂量 ' || q || 'mg 与 ' || q || ' mL，服' || q || '毫升后' AS text, (CASE WHEN q * 60 > 2000 OR q * 60 < 0.01 THEN 1 ELSE 0 END)::BIGINT AS warnings FROM (SELECT *, l_quantity::INT AS q FROM lineitem)")
@@ -266,6 +336,22 @@ def qc_patterns(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("record_id").alias("c_custkey"), F.try_element_at(F.filter("issues", lambda i: i["level"] == "drop"), F.lit(1))["message"].alias("drop_message"), F.col("domain_score").alias("score"))
 
 
+@query("""SELECT c_custkey, ['判决书','合同','法规','其他'][(c_custkey % 4 + 1)::BIGINT] AS doc_type, CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN '判决书必备要素缺失' ELSE '' END WHEN 1 THEN CASE WHEN c_custkey % 3 = 0 THEN '合同必备要素缺失' ELSE '' END WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN '法规必备要素缺失' ELSE '' END ELSE '' END AS messages,
+CASE c_custkey % 4 WHEN 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 0.88 ELSE 1.0 END WHEN 1 THEN 0.88 WHEN 2 THEN CASE WHEN c_custkey % 3 = 0 THEN 0.6 ELSE 0.8 END ELSE 0.0 END::DOUBLE AS score FROM customer""")
+def qc_legal_types(spark: SparkSession, d: str) -> DataFrame:
+    """What a legal text must hold, by its kind."""
+    k, n = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    short = F.col("c_custkey") % 3 == 0
+    judgment = F.concat(F.lit("北京人民法院 判决书 案号"), n, F.when(short, "").otherwise(" 原告甲"), F.lit(" 2021年3月4日 判决如下"))
+    contract = F.concat(F.lit("甲方与乙方"), F.when(short, "").otherwise("约定租金"), n, F.lit("元，第三条，签订"))
+    contract = F.when(short, F.concat(F.lit("甲方与乙方"), n, F.lit("，第三条，签订"))).otherwise(F.concat(F.lit("甲方与乙方约定租金"), n, F.lit("元，第三条")))
+    statute = F.concat(F.lit("第三条 办法"), n, F.when(short, "").otherwise("，自公布之日起施行"))
+    text = F.when(k % 4 == 0, judgment).when(k % 4 == 1, contract).when(k % 4 == 2, statute).otherwise(F.concat(F.lit("普通文字"), n))
+    items = stages.doc_type(_items(table(spark, d, "customer"), "c_custkey", text, F.lit("好")))
+    out = stages.quality_score(stages.completeness_qc(items, "legal"), "regex")
+    return out.select(F.col("record_id").alias("c_custkey"), "doc_type", F.array_join(F.transform(F.filter("issues", lambda i: i["stage"] == "completeness_qc"), lambda i: i["message"]), "；").alias("messages"), F.col("domain_score").alias("score"))
+
+
 @query("SELECT row_id, any_value(CASE WHEN " + _strip("coalesce(instruction, '')") + " <> '' AND " + _strip("coalesce(output, '')") + " <> '' THEN 0.9 ELSE 0.2 END)::DOUBLE AS score FROM mmlu_csv_alpaca GROUP BY row_id")
 def quality_pair(spark: SparkSession, d: str) -> DataFrame:
     rows = one_per_key(table(spark, d, "mmlu_csv_alpaca"), "row_id", "instruction", "output")

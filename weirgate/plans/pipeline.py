@@ -13,7 +13,7 @@ from weirgate.operators.dedup import dedupe
 from weirgate.operators.deid import deid, put_contents
 from weirgate.operators.generators import generate
 from weirgate.operators.normalize import normalize, work_items
-from weirgate.operators.stages import STAGES, quality_score
+from weirgate.operators.stages import STAGES
 from weirgate.operators.verdict import judge, reason_histogram, stage_stats, write_outputs
 from weirgate.schema import contents, issue, with_issues
 from weirgate.sources.readers import read_files
@@ -34,7 +34,7 @@ def find_preset(domain: str, name: str | None = None) -> tuple[list[str], str]:
     """(stages, mode) of a preset of a domain: the named one, else its first; no domain has only a score of 0."""
     own = [(n, p) for (d, n), p in PRESETS.items() if d == domain_slug(domain)]
     stages, mode = next((p for n, p in own if n == name), own[0][1])
-    return stages.split(), mode
+    return stages, mode
 
 
 def generic_clean(items: DataFrame) -> DataFrame:
@@ -95,8 +95,3 @@ def run_pipeline(spark: SparkSession, domain: str, paths: list[str], out: str |
     rows = curate(work_items(items), domain, preset, **limits)
     written = write_outputs(rows, out, slug, form) if out else None
     return Result(rows, refused.unionByName(unknown), reason_histogram(rows), stage_stats(rows), written)
-
-
-def score_only(items: DataFrame) -> DataFrame:
-    """The generic preset: no structure is known, so the score is 0."""
-    return quality_score(items, "none")

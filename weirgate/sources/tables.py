@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
+import atexit
+import shutil
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,12 +25,19 @@ def one_per_key(df: DataFrame, key: str, *cols: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a checkpoint in the folder of spark.checkpoint.dir.
 
-    A folder is set here only where the session names none (tests on one machine).
+    Where the session names none, a folder of this machine serves sessions that run on this machine alone, and is deleted
+    at the end; on a cluster it would be lost or unseen, so there it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", f"/tmp/weirgate-{uuid.uuid4().hex}"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="weirgate-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
