@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 TYPES = ["person_name", "email", "phone", "id_number", "street_address"]
 LABELS = ["O", *(f"{p}-{t}" for t in TYPES for p in "BI")]
-WINDOW, STRIDE, BATCH, MEMO = 96, 64, 2048, 400_000
+WINDOW, STRIDE, BATCH, MEMO = 96, 64, 256, 400_000
 WEIGHTS = Path(__file__).with_name("pii_model.npz")
 
 #: Chinese family names of one and of two characters.
@@ -79,14 +79,22 @@ class Tagger:
         h, c = np.zeros((2, n, self.hidden), np.float32), np.zeros((2, n, self.hidden), np.float32)
         states = np.empty((2, longest, n, self.hidden), np.float32)
         H = self.hidden
-        for t in range(longest):
-            gates = np.stack([self.tables[d][both[d, :, t]] for d in (0, 1)]) + np.matmul(h, self.recurrent)
+        gates, looked, inner = (np.empty((2, n, k * H), np.float32) for k in (4, 4, 1))
+        for t in range(longest):  # buffers are filled again at each step
+            np.matmul(h, self.recurrent, out=gates)
+            for d in (0, 1):
+                np.take(self.tables[d], both[d, :, t], axis=0, out=looked[d], mode="clip")
+            gates += looked
             np.tanh(gates, out=gates)
-            gates[..., : 3 * H] *= 0.5
-            gates[..., : 3 * H] += 0.5
-            c = gates[..., H : 2 * H] * c + gates[..., :H] * gates[..., 3 * H :]
-            h = gates[..., 2 * H : 3 * H] * np.tanh(c)
-            states[:, t] = h
+            sigmoid = gates[..., : 3 * H]
+            sigmoid *= 0.5
+            sigmoid += 0.5
+            c *= gates[..., H : 2 * H]
+            np.multiply(gates[..., :H], gates[..., 3 * H :], out=inner)
+            c += inner
+            np.tanh(c, out=inner)
+            np.multiply(gates[..., 2 * H : 3 * H], inner, out=states[:, t])
+            h = states[:, t]
         back = np.take_along_axis(states[1], flip.T[:, :, None], 0)
         scores = states[0] @ self.out[:H] + back @ self.out[H:] + self.bias
         best, came = scores[0] + self.moves[-1], np.zeros((longest, n, len(LABELS)), np.int8)
