@@ -13,7 +13,7 @@ from weirgate.functions import tables as R
 from weirgate.functions.text import arabic_number, clean_text, fold_blanks, norm_text, strip, strip_markup
 from weirgate.operators import dedup, deid, generators, normalize, stages, verdict
 from weirgate.schema import META, count_matches, no_issues
-from weirgate.sources.tables import one_per_key, table
+from weirgate.sources.tables import durable, one_per_key, table
 
 #: Python's blanks as a class of the SQL engine's patterns.
 _B = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -465,9 +465,11 @@ def documents_gen_legal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _curated(items: DataFrame, domain: str, preset: str) -> DataFrame:
+    """Items through all stages. They are cut from how they were made, as the pipeline's are by their ids: the optimizer
+    would write the text's expressions into every stage again, a plan of megabytes that the driver holds many times."""
     from weirgate.plans.pipeline import curate
 
-    return curate(items, domain, preset).select("record_id", "status", "drop_reason", "domain_score", _codes().alias("codes"))
+    return curate(durable(items), domain, preset).select("record_id", "status", "drop_reason", "domain_score", _codes().alias("codes"))
 
 
 @query()
