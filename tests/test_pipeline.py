@@ -229,3 +229,41 @@ def test_curated_items_are_cut_from_the_generator(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(1, "第一章 总则\n第一条 为了规范管理，制定本法。")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     QUERIES["documents_curated"](spark, str(tmp_path))
     assert len(plans) == 1 and "Relation" not in plans[0] and "_trees(text" not in plans[0]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.92, 1.0])
+def test_near_pairs_against_brute_force(spark, threshold):
+    """Sizes from none to some hundred pairs, letters beyond the basic plane, and an equal set from different texts."""
+    import random
+
+    from weirgate.operators.dedup import near_pairs
+
+    r = random.Random(7)
+    words = ["".join(r.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯abc") for _ in range(3)) for _ in range(40)]
+    texts = ["", "a", "b", "ab", "aba", "bab", "abab", "𠀀𠀁"]
+    for _ in range(60):
+        t = [r.choice(words) for _ in range(r.choice([1, 2, 4, 10, 40, 120]))]
+        texts += ["".join(t), "".join(t[:-1] + [r.choice(words)]), "".join(t) + r.choice("甲乙")]
+    texts = list(dict.fromkeys(texts))
+    sets = [{t[i : i + 2] for i in range(len(t) - 1)} or {t} for t in texts]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold}
+    got = [(x.id_a, x.id_b) for x in near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, norm string"), threshold).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (4, 5) in want
+
+
+def test_near_pairs_shuffle_no_row_per_pair(spark, monkeypatch):
+    from weirgate.operators import dedup
+
+    plans = []
+    monkeypatch.setattr(dedup, "durable", lambda df: plans.append(df._jdf.queryExecution().analyzed().toString()) or df)
+    dedup.near_pairs(spark.createDataFrame([(1, "甲乙丙")], "id long, norm string"))
+    assert "explode(" not in plans[0]
+
+
+def test_exact_duplicates_shuffle_hashes_not_texts(spark):
+    from weirgate.operators.dedup import exact_duplicates, first_rows
+
+    rows = spark.createDataFrame([(3, "A b"), (1, "ab"), (2, None), (None, "x"), (None, ""), (7, "y"), (3, "y")], "id long, text string")
+    exact = exact_duplicates(rows)
+    assert exact.columns == ["id", "hash", "first_id"]
+    assert sorted(tuple(r) for r in first_rows(rows, exact).collect()) == [(1, "ab"), (2, ""), (3, "y")]

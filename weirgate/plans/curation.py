@@ -93,8 +93,7 @@ SELECT a.id AS id_a, b.id AS id_b FROM s a JOIN s b ON a.id < b.id AND least(len
 WHERE len(list_intersect(a.p, b.p))::DOUBLE / (len(a.p) + len(b.p) - len(list_intersect(a.p, b.p))) >= 0.92::DOUBLE""")
 def doc_near_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    firsts = dedup.exact_duplicates(rows).where("id = first_id").select("id", "norm")
-    return dedup.near_pairs(firsts).select("id_a", "id_b")
+    return dedup.near_pairs(dedup.first_rows(rows, dedup.exact_duplicates(rows))).select("id_a", "id_b")
 
 
 @query()
